@@ -55,17 +55,20 @@ def standardise(df: DataFrame, vec: str, fit: DataFrame | None = None, out: str
     """(x - mean) / population std per dimension; zero variance divides by 1.
     ``fit`` is the frame the statistics come from (default: ``df``)."""
     stats = _dim_stats(fit if fit is not None else df, vec)
-    mean, std = _stat_array(stats, "mean"), _stat_array(stats, "std")
+    # subqueries cannot sit inside a lambda: project them as columns first
+    d = df.withColumn("_mean", _stat_array(stats, "mean")).withColumn("_std", _stat_array(stats, "std"))
+    mean, std = F.col("_mean"), F.col("_std")
     scaled = F.transform(F.col(vec), lambda x, i: (x - mean[i]) / F.when(std[i] == 0, F.lit(1.0)).otherwise(std[i]))
-    return df.withColumn(out or vec, scaled)
+    return d.withColumn(out or vec, scaled).drop("_mean", "_std")
 
 
 def minmax_scale(df: DataFrame, vec: str, fit: DataFrame | None = None, out: str | None = None) -> DataFrame:
     """(x - min) / (max - min) per dimension; a constant dimension maps to 0."""
     stats = _dim_stats(fit if fit is not None else df, vec)
-    lo, hi = _stat_array(stats, "lo"), _stat_array(stats, "hi")
+    d = df.withColumn("_lo", _stat_array(stats, "lo")).withColumn("_hi", _stat_array(stats, "hi"))
+    lo, hi = F.col("_lo"), F.col("_hi")
     scaled = F.transform(F.col(vec), lambda x, i: F.when(hi[i] == lo[i], F.lit(0.0)).otherwise((x - lo[i]) / (hi[i] - lo[i])))
-    return df.withColumn(out or vec, scaled)
+    return d.withColumn(out or vec, scaled).drop("_lo", "_hi")
 
 
 # --- blocked all-pairs ----------------------------------------------------------
