@@ -22,27 +22,39 @@ LABEL_CODES = {"z_amb": "ambiguous", "z_minus_m": "negative", "z_plus_m": "posit
 
 
 # --- IO1 -------------------------------------------------------------------
+def list_files(spark: SparkSession, pattern: str) -> list[str]:
+    """Files matching a glob (or below a directory), listed through the Hadoop file
+    system like any Spark source listing - no data is read."""
+    jvm = spark.sparkContext._jvm
+    conf = spark.sparkContext._jsc.hadoopConfiguration()
+    path = jvm.org.apache.hadoop.fs.Path(pattern)
+    fs = path.getFileSystem(conf)
+    stats = fs.globStatus(path) or []
+    out: list[str] = []
+    for st in stats:
+        if st.isDirectory():
+            it = fs.listFiles(st.getPath(), True)
+            while it.hasNext():
+                out.append(it.next().getPath().toString())
+        else:
+            out.append(st.getPath().toString())
+    return sorted(f for f in out if not f.rsplit("/", 1)[-1].startswith(("_", ".")))
+
+
 def read_csv_dir(spark: SparkSession, path: str, schema: T.StructType | str | None = None) -> DataFrame:
-    """All CSV files of a directory, combined by column name.
+    """All CSV files of a directory (or glob), combined by column name.
 
-    Files that share a header are read in one scan.  When a schema is given every
-    file is read with it; otherwise headers are grouped and each group's frame is
-    unioned by name, missing columns becoming null.
+    With a schema every file is read in one scan.  Otherwise files are grouped by
+    their header (only the header line of each file is read) and each group is one
+    scan; the groups are unioned by name, missing columns becoming null.
     """
     opts = dict(header=True, multiLine=True, escape='"', quote='"')
     if schema is not None:
         return spark.read.options(**opts).schema(schema).csv(path)
-    files = spark.read.text(path, wholetext=False).select(F.input_file_name().alias("f")).distinct()
-    heads = (
-        spark.read.text(path)
-        .select(F.input_file_name().alias("f"), F.col("value"))
-        .groupBy("f")
-        .agg(F.first("value").alias("header"))
-    )
-    # header lines: one per file, bounded by the number of files
-    groups: dict[str, list[str]] = {}
-    for row in heads.join(files, "f").collect():
-        groups.setdefault(row["header"], []).append(row["f"])
+    groups: dict[tuple[str, ...], list[str]] = {}
+    for f in list_files(spark, path):
+        cols = tuple(spark.read.options(**opts).csv(f).columns)
+        groups.setdefault(cols, []).append(f)
     frames = [spark.read.options(**opts).csv(fs) for fs in groups.values()]
     out = frames[0]
     for fr in frames[1:]:
