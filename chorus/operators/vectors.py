@@ -79,8 +79,9 @@ def _blocks(n_rows: int, block_rows: int) -> int:
 def _replicate(df: DataFrame, id_col: str, nblocks: int, side: str) -> DataFrame:
     """Each row goes to the ``nblocks`` pairs of its own block with every block of the
     other side."""
-    own = F.pmod(F.xxhash64(F.col(id_col)), F.lit(nblocks))
-    others = F.sequence(F.lit(0), F.lit(nblocks - 1))
+    # both block columns are longs on both sides: the cogroup hashes keys by type
+    own = F.pmod(F.xxhash64(F.col(id_col)), F.lit(nblocks)).cast("long")
+    others = F.sequence(F.lit(0).cast("long"), F.lit(nblocks - 1).cast("long"))
     if side == "left":
         return df.select("*", own.alias("_bl"), F.explode(others).alias("_br"))
     return df.select("*", F.explode(others).alias("_bl"), own.alias("_br"))
