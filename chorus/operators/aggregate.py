@@ -73,32 +73,38 @@ def distinct_counts(df: DataFrame, columns: Sequence[str]) -> DataFrame:
 
 
 # --- A15 -----------------------------------------------------------------------
+def _value_counts(df: DataFrame, column: Column | str) -> DataFrame:
+    """(x, c): one pass over the data; the bin bounds and the bins are then computed
+    from this pre-aggregate (its scan is shared by the subqueries through exchange
+    reuse), not from the rows."""
+    x = _c(column).cast("double")
+    # the null filter runs after the aggregation: a filter on a computed column would
+    # be pushed below the projection and evaluate the expression twice
+    return df.select(x.alias("_x")).groupBy("_x").agg(F.count(F.lit(1)).alias("_c")).filter(F.col("_x").isNotNull())
+
+
 def hist_fixed_width(df: DataFrame, column: Column | str, width: float, out: str = "n") -> DataFrame:
     """Bins of fixed width starting at the minimum: bin = floor((x - min) / width).
-
-    The minimum is a scalar subquery (one small job), not a join.
-    """
-    x = _c(column).cast("double")
-    base = df.select(x.alias("_x")).filter(F.col("_x").isNotNull())
-    lo = base.agg(F.min("_x")).scalar()
-    b = F.floor((F.col("_x") - lo) / F.lit(float(width))).cast("long")
+    The minimum is a scalar subquery, not a join."""
+    vals = _value_counts(df, column)
+    vals = vals.withColumn("_lo", vals.agg(F.min("_x")).scalar())  # one subquery, projected once
+    b = F.floor((F.col("_x") - F.col("_lo")) / F.lit(float(width))).cast("long")
     return (
-        base.groupBy(b.alias("bin"))
-        .agg(F.count(F.lit(1)).alias(out))
-        .select("bin", (lo + F.col("bin") * F.lit(float(width))).alias("lo"), out)
+        vals.groupBy(b.alias("bin"), F.col("_lo"))
+        .agg(F.sum("_c").cast("long").alias(out))
+        .select("bin", (F.col("_lo") + F.col("bin") * F.lit(float(width))).alias("lo"), out)
     )
 
 
 # --- A16 -----------------------------------------------------------------------
 def hist_fixed_bins(df: DataFrame, column: Column | str, bins: int, out: str = "n") -> DataFrame:
     """``bins`` equal bins over [min, max]; the last bin is closed on the right."""
-    x = _c(column).cast("double")
-    base = df.select(x.alias("_x")).filter(F.col("_x").isNotNull())
-    lo = base.agg(F.min("_x")).scalar()
-    hi = base.agg(F.max("_x")).scalar()
+    vals = _value_counts(df, column)
+    vals = vals.withColumn("_r", vals.agg(F.struct(F.min("_x").alias("lo"), F.max("_x").alias("hi"))).scalar())
+    lo, hi = F.col("_r.lo"), F.col("_r.hi")
     w = (hi - lo) / F.lit(float(bins))
     b = F.when(w == 0, F.lit(0)).otherwise(F.least(F.floor((F.col("_x") - lo) / w), F.lit(bins - 1))).cast("long")
-    return base.groupBy(b.alias("bin")).agg(F.count(F.lit(1)).alias(out))
+    return vals.groupBy(b.alias("bin")).agg(F.sum("_c").cast("long").alias(out))
 
 
 # --- A17 -----------------------------------------------------------------------
