@@ -73,22 +73,32 @@ def clean_text(col: Column | str, strip_pl: bool = True) -> Column:
     return collapse_spaces(remove_hash_signs(remove_mentions(remove_links(col, strip_pl))))
 
 
-def emoji_to_text(col: Column | str, mapping: Sequence[tuple[str, str]] | Column) -> Column:
+def emoji_to_text(col: Column | str, mapping: Sequence[tuple[str, str]] | Column, prefilter_above: int = 64) -> Column:
     """Replace each key by ``<description>`` sequentially in mapping order.
 
     Later entries see the output of earlier ones, exactly like a loop of
     ``str.replace``.  ``mapping`` is either a list of pairs (a literal array) or a
     Column of ``array<struct<k:string,v:string>>`` (e.g. a broadcast map per row).
     """
+    def run(entries: Column) -> Column:
+        return F.aggregate(entries, _c(col), lambda acc, e: F.replace(acc, e["k"], F.concat(F.lit("<"), e["v"], F.lit(">"))))
+
+    def lit_entries(pairs) -> Column:
+        return F.array(*[F.struct(F.lit(k).alias("k"), F.lit(v).alias("v")) for k, v in pairs]).cast("array<struct<k:string,v:string>>")
+
     if isinstance(mapping, Column):
-        entries = mapping
-    else:
-        entries = F.array(*[F.struct(F.lit(k).alias("k"), F.lit(v).alias("v")) for k, v in mapping])
-    return F.aggregate(
-        entries,
-        _c(col),
-        lambda acc, e: F.replace(acc, e["k"], F.concat(F.lit("<"), e["v"], F.lit(">"))),
-    )
+        return run(mapping)
+    if len(mapping) <= prefilter_above:
+        return run(lit_entries(mapping))
+    # Large maps: a key none of whose characters occur in any inserted "<v>" can only
+    # match text that was in the input already.  Rows that contain no first character
+    # of such keys (most rows: no emoji) run only the other keys - exact, and the cost
+    # of the full map is paid only by rows that contain a candidate character.
+    inserted = set("<>").union(*[set(v) for _, v in mapping])
+    safe_first = sorted({k[:1] for k, _ in mapping if k and not set(k) & inserted})
+    rest = [(k, v) for k, v in mapping if not k or set(k) & inserted]
+    guard = "[" + "".join(f"\\x{{{ord(c):X}}}" for c in safe_first) + "]"
+    return F.when(_c(col).rlike(guard), run(lit_entries(mapping))).otherwise(run(lit_entries(rest)) if rest else _c(col))
 
 
 def clean_for_annotation(col: Column | str) -> Column:
@@ -159,3 +169,10 @@ def separator_text(sep: Column, sentence: Column) -> Column:
         .when((sep == "newline") & (sentence != 0), F.lit("\n"))
         .otherwise(F.lit(""))
     )
+
+
+def file_stem(path: Column | str | None = None) -> Column:
+    """Stem of a file path (name without directory and last extension); by default of
+    the file each row was read from."""
+    p = F.input_file_name() if path is None else _c(path)
+    return F.regexp_extract(p, r"([^/]*?)(\.[^./]*)?$", 1)

@@ -304,7 +304,7 @@ def flagship(spark, sf):
     acc = fx.accounts(spark, sf).select(F.lower("username").alias("username"), "party", "coalition")
     p = p.withColumn("username", F.lower("username"))
     # the vocabulary is computed over the posts that have an account, like the oracle
-    p = p.join(F.broadcast(acc.select("username")), "username", "left_semi")
+    p = p.join(rel.sized_broadcast(acc.select("username")), "username", "left_semi")
     return corpus.term_counts_by_dim(p, "t", "id", "username", acc, ["party", "coalition"], top=20, stop_words=fx.STOP_WORDS)
 
 

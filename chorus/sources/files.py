@@ -62,6 +62,13 @@ def read_csv_dir(spark: SparkSession, path: str, schema: T.StructType | str | No
     return out
 
 
+def read_csv_indexed(spark: SparkSession, path: str, schema: T.StructType | str | None = None) -> DataFrame:
+    """Header CSV whose first column is a written row index: the index is dropped."""
+    reader = spark.read.options(header=True, multiLine=True, escape='"')
+    df = (reader.schema(schema) if schema is not None else reader).csv(path)
+    return df.drop(df.columns[0])
+
+
 # --- IO2 -------------------------------------------------------------------
 def read_accounts(
     spark: SparkSession,

@@ -32,8 +32,12 @@ def table(spark: SparkSession, sf_dir: str, name: str, spread: bool | None = Non
         raise ValueError(f"unknown table {name!r}")
     df = spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
     if spread if spread is not None else name in SPREAD:
-        want = spark.sparkContext.defaultParallelism
-        if df.rdd.getNumPartitions() < want:
+        try:
+            want = spark.sparkContext.defaultParallelism
+            splits = df.rdd.getNumPartitions()
+        except Exception:  # no RDD view of the plan (e.g. a remote session): leave the scan as is
+            return df
+        if splits < want:
             df = df.repartition(want).persist(StorageLevel.MEMORY_AND_DISK)
     return df
 

@@ -113,3 +113,12 @@ def test_lemma_rebuild_separators(spark):
     assert full[2] == "Z nowej linii"  # newline in the first sentence is dropped; unknown words keep their form
     nouns = {r["id"]: r["lemmatized"] for r in corpus.lemmatize_by_dictionary(docs, "id", "t", dic, "noun", False).collect()}
     assert nouns[1] == "ala kot\nkot ala"
+
+
+def test_file_stem_and_indexed_csv(spark, tmp_path):
+    assert _one(spark, tx.file_stem("t"), "/a/b/user_tweets.csv") == "user_tweets"
+    assert _one(spark, tx.file_stem("t"), "file:///x/y/archive.tar.gz") == "archive.tar"
+    p = tmp_path / "t.csv"
+    p.write_text(",username,party\n0,a,P\n1,b,Q\n", encoding="utf-8")
+    df = files.read_csv_indexed(spark, str(p))
+    assert df.columns == ["username", "party"] and df.count() == 2
