@@ -24,13 +24,27 @@ def explode_tokens(df: DataFrame, text: str, keep: Sequence[str] = ()) -> DataFr
     return df.select(*keep, F.explode(tx.tokenise(text)).alias("term"))
 
 
-def key_term_counts(df: DataFrame, text: str, key: str, id_col: str) -> DataFrame:
+def _term_hits(text: str) -> Column:
+    """Per document: one (term, 1, 0) entry per token and one (term, 0, 1) entry per
+    distinct token.  Summing them gives occurrences and document frequency in a single
+    partial aggregation - no distinct-aggregate shuffle on (key, term, doc).  The token
+    array is bound once through a one-element lambda so the regex runs once."""
+
+    def hits(ts: Column) -> Column:
+        occ = F.transform(ts, lambda t: F.struct(t.alias("term"), F.lit(1).alias("_o"), F.lit(0).alias("_d")))
+        first = F.transform(F.array_distinct(ts), lambda t: F.struct(t.alias("term"), F.lit(0).alias("_o"), F.lit(1).alias("_d")))
+        return F.concat(occ, first)
+
+    return F.element_at(F.transform(F.array(tx.tokenise(text)), hits), 1)
+
+
+def key_term_counts(df: DataFrame, text: str, key: str, id_col: str | None = None) -> DataFrame:
     """(key, term, n, df): occurrences and number of distinct documents per key and term.
 
     A document belongs to one key, so document frequencies add up across keys.
     """
-    toks = explode_tokens(df, text, [key, id_col])
-    return toks.groupBy(key, "term").agg(F.count(F.lit(1)).alias("n"), F.count_distinct(id_col).alias("df"))
+    ex = df.select(key, F.inline(_term_hits(text)))
+    return ex.groupBy(key, "term").agg(F.sum("_o").cast("long").alias("n"), F.sum("_d").cast("long").alias("df"))
 
 
 def vocabulary(
@@ -64,8 +78,8 @@ def vocabulary(
 
 def term_frequencies(df: DataFrame, text: str, id_col: str, stop_words: Iterable[str] | None = None, max_features: int = 1000, min_df: int = 2) -> DataFrame:
     """(term, n, df) of the corpus vocabulary; order at the sink by n desc, term asc."""
-    toks = df.select(id_col, F.explode(tx.tokenise(text)).alias("term"))
-    stats = toks.groupBy("term").agg(F.count(F.lit(1)).alias("n"), F.count_distinct(id_col).alias("df"))
+    ex = df.select(F.inline(_term_hits(text)))
+    stats = ex.groupBy("term").agg(F.sum("_o").cast("long").alias("n"), F.sum("_d").cast("long").alias("df"))
     return vocabulary(stats, min_df=min_df, max_features=max_features, stop_words=stop_words)
 
 
