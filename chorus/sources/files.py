@@ -41,6 +41,22 @@ def list_files(spark: SparkSession, pattern: str) -> list[str]:
     return sorted(f for f in out if not f.rsplit("/", 1)[-1].startswith(("_", ".")))
 
 
+def _csv_header(spark: SparkSession, path: str) -> tuple[str, ...]:
+    """Column names from the first line of one file, read through the Hadoop file
+    system (a few bytes per file, no Spark job - like Spark's own header inference)."""
+    import csv
+
+    jvm = spark.sparkContext._jvm
+    p = jvm.org.apache.hadoop.fs.Path(path)
+    stream = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).open(p)
+    try:
+        reader = jvm.java.io.BufferedReader(jvm.java.io.InputStreamReader(stream, "UTF-8"))
+        line = reader.readLine() or ""
+    finally:
+        stream.close()
+    return tuple(next(csv.reader([line.lstrip("﻿")]), []))
+
+
 def read_csv_dir(spark: SparkSession, path: str, schema: T.StructType | str | None = None) -> DataFrame:
     """All CSV files of a directory (or glob), combined by column name.
 
@@ -53,8 +69,7 @@ def read_csv_dir(spark: SparkSession, path: str, schema: T.StructType | str | No
         return spark.read.options(**opts).schema(schema).csv(path)
     groups: dict[tuple[str, ...], list[str]] = {}
     for f in list_files(spark, path):
-        cols = tuple(spark.read.options(**opts).csv(f).columns)
-        groups.setdefault(cols, []).append(f)
+        groups.setdefault(_csv_header(spark, f), []).append(f)
     frames = [spark.read.options(**opts).csv(fs) for fs in groups.values()]
     out = frames[0]
     for fr in frames[1:]:
