@@ -71,6 +71,55 @@ def position_within(
     )
 
 
+def prefix_within(
+    df: DataFrame,
+    keys: Sequence[str],
+    order: Sequence[Column | str],
+    value: str,
+    how: str = "max",
+    inclusive: bool = True,
+    out: str = "prefix",
+    num_partitions: int | None = None,
+) -> DataFrame:
+    """Running ``max`` / ``sum`` of ``value`` inside each key in ``order`` (inclusive or
+    exclusive of the current row), without a window over a whole key.
+
+    Same layout as :func:`position_within`: range partitions over (key, order), a
+    per-(partition, key) summary whose own prefix over partitions is small, and a
+    window inside each (partition, key) piece, whose size is bounded by a partition.
+    """
+    spark = df.sparkSession
+    n = num_partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    fn = {"max": F.max, "sum": F.sum}[how]
+    key_cols = [F.col(k) for k in keys]
+    order_cols = _cols(order)
+    checkpoint_dir(spark)
+    ranged = (
+        df.repartitionByRange(n, *key_cols, *order_cols)
+        .sortWithinPartitions(*key_cols, *order_cols)
+        .withColumn("_pid", F.shiftright(F.monotonically_increasing_id(), _LOCAL_BITS))
+        .checkpoint(eager=True)
+    )
+    pieces = ranged.groupBy("_pid", *keys).agg(fn(value).alias("_pv"))
+    wp = Window.partitionBy(*keys).orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
+    pieces = pieces.select(
+        F.col("_pid").alias("_ppid"), *[F.col(k).alias(f"_pk{i}") for i, k in enumerate(keys)], fn("_pv").over(wp).alias("_before")
+    )
+    wl = Window.partitionBy("_pid", *keys).orderBy(*order_cols).rowsBetween(Window.unboundedPreceding, 0 if inclusive else -1)
+    local = ranged.withColumn("_loc", fn(value).over(wl))
+    cond = F.col("_pid") == F.col("_ppid")
+    for i, k in enumerate(keys):
+        cond = cond & F.col(k).eqNullSafe(F.col(f"_pk{i}"))
+    j = local.join(pieces, cond, "inner")
+    if how == "max":
+        res = F.greatest(F.col("_before"), F.col("_loc"))
+    else:
+        res = F.when(F.col("_before").isNull() & F.col("_loc").isNull(), F.lit(None)).otherwise(
+            F.coalesce(F.col("_before"), F.lit(0)) + F.coalesce(F.col("_loc"), F.lit(0))
+        )
+    return j.withColumn(out, res).drop("_pid", "_loc", "_ppid", "_before", *[f"_pk{i}" for i in range(len(keys))])
+
+
 def top_n_per_key(df: DataFrame, keys: Sequence[str], order: Sequence[Column | str], n: int, out: str = "rn") -> DataFrame:
     """Rows ranked 1..n within each key (ties broken by ``order``); partial limit before
     the shuffle keeps hot keys cheap."""

@@ -8,9 +8,11 @@ is a partial aggregation (``max_by`` / ``min_by``).
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from chorus.operators.ranking import prefix_within
+
 
 def series_delta(df: DataFrame, run: str, epoch: str, value: str) -> DataFrame:
     """(run, epoch, delta) for every epoch that has a predecessor."""
@@ -32,20 +34,22 @@ def early_stop(df: DataFrame, run: str, epoch: str, value: str, patience: int =
     grows, and the run stops at the first epoch where it reaches ``patience``.  A NaN
     value stops at once.  ``stop_epoch`` is null when the run never stops.
 
-    With ``min_delta == 0`` the best so far is a running max/min, so this is a window
-    over each run's epochs; with ``min_delta > 0`` the best depends on the path and is
-    folded with ``aggregate`` over the run's ordered values.  Either way one group is
-    one training history (bounded by the epoch budget).
+    With ``min_delta == 0`` the best so far is a running max/min and the last
+    improvement a running max, both computed by skew-safe prefix scans
+    (:func:`chorus.operators.ranking.prefix_within`).  With ``min_delta > 0`` the best
+    depends on the path and is folded with ``aggregate`` over the run's ordered values;
+    that group is one training history, bounded by the epoch budget.
     """
     if mode not in ("min", "max"):
         raise ValueError(f"mode {mode!r} is unknown")
     if min_delta == 0.0:
-        w_prev = Window.partitionBy(run).orderBy(epoch).rowsBetween(Window.unboundedPreceding, -1)
-        w_upto = Window.partitionBy(run).orderBy(epoch).rowsBetween(Window.unboundedPreceding, 0)
-        best_prev = (F.max if mode == "max" else F.min)(value).over(w_prev)
-        better = (F.col(value) > best_prev) if mode == "max" else (F.col(value) < best_prev)
-        h = df.withColumn("_imp", F.when(best_prev.isNull() | better, F.col(epoch)))
-        h = h.withColumn("_last", F.max("_imp").over(w_upto))
+        # running best and last improvement as skew-safe prefix scans (a long run is
+        # split over many tasks); "min" mode scans the negated value
+        base = df.select(run, epoch, value).withColumn("_s", F.col(value) if mode == "max" else -F.col(value))
+        h = prefix_within(base, [run], [epoch], "_s", how="max", inclusive=False, out="_best_prev")
+        h = h.withColumn("_imp", F.when(F.col("_best_prev").isNull() | (F.col("_s") > F.col("_best_prev")), F.col(epoch)))
+        h = prefix_within(h, [run], [epoch], "_imp", how="max", inclusive=True, out="_last")
+        best_prev = F.col("_best_prev")
         h = h.withColumn("_stop", F.isnan(F.col(value)) & best_prev.isNotNull() | ((F.col(epoch) - F.col("_last")) >= patience))
         stops = h.groupBy(run).agg(
             F.min(F.when(F.col("_stop"), F.col(epoch))).alias("stop_epoch"),
