@@ -11,7 +11,7 @@ from __future__ import annotations
 
 from collections.abc import Iterable, Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from chorus.functions import text as tx
@@ -138,16 +138,19 @@ _TOKEN_RE = r"(?U)(\s*)(\w+|[^\w\s])"
 def tagged_tokens(df: DataFrame, id_col: str, text: str) -> DataFrame:
     """(id, pos, sep, token, sentence): word and punctuation tokens of each text with the
     whitespace before them (space / newline / none) and a sentence index that
-    increases after each '.', '!' or '?' token."""
-    seps = F.regexp_extract_all(F.col(text), F.lit(_TOKEN_RE), 1)
-    toks = F.regexp_extract_all(F.col(text), F.lit(_TOKEN_RE), 2)
-    z = df.select(id_col, F.posexplode(F.arrays_zip(seps.alias("s"), toks.alias("t"))).alias("pos", "z"))
+    increases after each '.', '!' or '?' token.
+
+    The text is first split after every sentence-ending character, so the sentence
+    index is the segment position: no window over a document is needed.  ``pos``
+    orders tokens within a text (sentence in the high bits).
+    """
+    sents = df.select(id_col, F.posexplode(F.split(F.col(text), r"(?<=[.!?])", -1)).alias("sentence", "_seg"))
+    seps = F.regexp_extract_all(F.col("_seg"), F.lit(_TOKEN_RE), 1)
+    toks = F.regexp_extract_all(F.col("_seg"), F.lit(_TOKEN_RE), 2)
+    z = sents.select(id_col, "sentence", F.posexplode(F.arrays_zip(seps.alias("s"), toks.alias("t"))).alias("_p", "z"))
     sep = F.when(F.col("z.s") == "", F.lit("none")).when(F.col("z.s").contains("\n"), F.lit("newline")).otherwise(F.lit("space"))
-    ends = F.col("z.t").isin(".", "!", "?").cast("int")
-    w = Window.partitionBy(id_col).orderBy("pos").rowsBetween(Window.unboundedPreceding, -1)
-    return z.select(id_col, F.col("pos").cast("long").alias("pos"), sep.alias("sep"), F.col("z.t").alias("token"), ends.alias("_end")).withColumn(
-        "sentence", F.coalesce(F.sum("_end").over(w), F.lit(0)).cast("long")
-    ).drop("_end")
+    pos = F.shiftleft(F.col("sentence").cast("long"), 32) + F.col("_p")
+    return z.select(id_col, pos.alias("pos"), sep.alias("sep"), F.col("z.t").alias("token"), F.col("sentence").cast("long").alias("sentence"))
 
 
 def lemmatize_by_dictionary(df: DataFrame, id_col: str, text: str, dictionary: DataFrame, tagset: str = "full", keep_interp: bool = False, out: str = "lemmatized") -> DataFrame:

@@ -15,7 +15,6 @@ import pandas as pd
 from pyspark.ml.feature import HashingTF
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 from chorus.functions import text as tx
 from chorus.functions import vectors as vf

@@ -6,7 +6,6 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from chorus.functions import text as tx
 from chorus.functions import vectors as vf
 from chorus.operators import corpus
 from chorus.operators import vectors as vo
