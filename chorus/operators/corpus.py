@@ -70,7 +70,7 @@ def vocabulary(
         kept = kept.orderBy(F.desc("n"), F.asc("term")).limit(max_features)
     if stop_words is not None:
         if isinstance(stop_words, DataFrame):
-            kept = kept.join(F.broadcast(stop_words.select(F.col(stop_words.columns[0]).alias("term"))), "term", "left_anti")
+            kept = kept.join(sized_broadcast(stop_words.select(F.col(stop_words.columns[0]).alias("term"))), "term", "left_anti")
         else:
             kept = kept.filter(~F.col("term").isin(*list(stop_words)))
     return kept
