@@ -141,14 +141,22 @@ GRID_WEIGHT = [1, 5, 10, 15]
 
 @query(
     "param_grid",
-    "SELECT r_name, lr, weight FROM region, (SELECT unnest([0.1, 0.01, 0.001]::DOUBLE[]) AS lr) l, (SELECT unnest([1, 5, 10, 15]) AS weight) w",
+    "WITH s AS (SELECT r.r_name, avg(o.o_totalprice) AS base FROM orders o JOIN customer c ON o.o_custkey = c.c_custkey "
+    "JOIN nation n ON c.c_nationkey = n.n_nationkey JOIN region r ON n.n_regionkey = r.r_regionkey GROUP BY r.r_name) "
+    "SELECT r_name, lr, weight, round(base * lr / weight, 6) AS score FROM s, (SELECT unnest([0.1, 0.01, 0.001]::DOUBLE[]) AS lr) l, "
+    "(SELECT unnest([1, 5, 10, 15]) AS weight) w",
 )
 def param_grid(spark, sf):
     """Parameter cross product as generators (no join): every region row expands to
-    the product of the literal lists."""
-    reg = table(spark, sf, "region").select("r_name")
-    g = reg.select("r_name", F.explode(F.array(*[F.lit(x) for x in GRID_LR])).alias("lr"))
-    return g.select("r_name", "lr", F.explode(F.array(*[F.lit(x) for x in GRID_WEIGHT])).alias("weight"))
+    the product of the literal lists; each grid row is scored from the region's orders."""
+    o = table(spark, sf, "orders").select("o_custkey", "o_totalprice")
+    c = table(spark, sf, "customer").select(F.col("c_custkey").alias("o_custkey"), "c_nationkey")
+    geo = table(spark, sf, "nation").join(table(spark, sf, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
+    geo = geo.select(F.col("n_nationkey").alias("c_nationkey"), "r_name")  # 25 rows
+    base = o.join(c, "o_custkey").join(rel.sized_broadcast(geo), "c_nationkey").groupBy("r_name").agg(F.avg("o_totalprice").alias("_base"))
+    g = base.select("r_name", "_base", F.explode(F.array(*[F.lit(x) for x in GRID_LR])).alias("lr"))
+    g = g.select("r_name", "_base", "lr", F.explode(F.array(*[F.lit(x) for x in GRID_WEIGHT])).alias("weight"))
+    return g.select("r_name", "lr", "weight", r6(F.col("_base") * F.col("lr") / F.col("weight")).alias("score"))
 
 
 _SQL_WIDE = (

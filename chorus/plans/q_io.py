@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from chorus.functions import text as tx
 from chorus.operators import corpus
+from chorus.operators import relational as rel
 from chorus.operators.ranking import position_within
 from chorus.operators.reports import nested_report as nested
 from chorus.plans import fixtures as fx
@@ -38,30 +39,41 @@ def csv_dir_union(spark, sf):
 
 @query(
     "accounts_clean",
-    "SELECT 'SRC' || CAST(n.n_nationkey AS VARCHAR) AS username, n.n_name AS party, r.r_name AS coalition, "
-    "'role' || CAST(n.n_nationkey % 3 AS VARCHAR) AS role, CAST(NULL AS BIGINT) AS tweets_count "
-    "FROM nation n JOIN region r ON n.n_regionkey = r.r_regionkey WHERE n.n_nationkey < 18 AND n.n_nationkey % 7 <> 6",
+    "SELECT c.c_name AS name, c.c_mktsegment AS party, n.n_name AS coalition, 'role' || CAST(c.c_custkey % 3 AS VARCHAR) AS role, "
+    "'C' || CAST(c.c_custkey AS VARCHAR) AS username, CAST(NULL AS BIGINT) AS tweets_count "
+    "FROM customer c JOIN nation n ON c.c_nationkey = n.n_nationkey WHERE c.c_custkey % 7 <> 6",
 )
 def accounts_clean(spark, sf):
-    """An account list CSV (a sub-header first line, a link column, an extra column and
-    rows with missing fields) cleaned by the account reader."""
-    n = table(spark, sf, "nation").filter(F.col("n_nationkey") < 18)
-    r = table(spark, sf, "region")
-    rows = n.join(r, n.n_regionkey == r.r_regionkey).select(
-        F.col("n_nationkey").alias("_o"),
-        F.concat(F.lit("Person "), F.col("n_nationkey").cast("string")).alias("name"),
-        F.when(F.col("n_nationkey") % 7 == 6, F.lit(None).cast("string")).otherwise(F.col("n_name")).alias("party"),
-        F.col("r_name").alias("coalition"),
-        F.concat(F.lit("role"), (F.col("n_nationkey") % 3).cast("string")).alias("role"),
-        F.concat(F.lit("https://twitter.com/SRC"), F.col("n_nationkey").cast("string")).alias("link"),
+    """Account list CSV files built from the customers - each file starts with a
+    sub-header line and has a link column, an extra column and rows with missing fields
+    - cleaned by the account reader."""
+    n_files = 4
+    nat = table(spark, sf, "nation").select(F.col("n_nationkey").alias("c_nationkey"), "n_name")  # 25 rows
+    cust = table(spark, sf, "customer").join(rel.sized_broadcast(nat), "c_nationkey")
+    rows = cust.select(
+        F.pmod(F.col("c_custkey"), F.lit(n_files)).alias("part"),
+        F.col("c_custkey").alias("_o"),
+        F.col("c_name").alias("name"),
+        F.when(F.col("c_custkey") % 7 == 6, F.lit(None).cast("string")).otherwise(F.col("c_mktsegment")).alias("party"),
+        F.col("n_name").alias("coalition"),
+        F.concat(F.lit("role"), (F.col("c_custkey") % 3).cast("string")).alias("role"),
+        F.concat(F.lit("https://twitter.com/C"), F.col("c_custkey").cast("string")).alias("link"),
         F.lit("x").alias("extra"),
     )
-    sub = spark.createDataFrame([(-1, "imie", "partia", "koalicja", "pozycja", "link do konta", "-")], rows.schema)
+    sub = spark.createDataFrame([(p, -1, "imie", "partia", "koalicja", "pozycja", "link do konta", "-") for p in range(n_files)], rows.schema)
     out = scratch_path(spark, "accounts")
-    # accounts are a dimension table: one ordered file is the natural layout
-    sub.unionByName(rows).orderBy("_o").coalesce(1).drop("_o").write.option("header", True).csv(out)
+    # one file per part, each led by its sub-header line
+    (
+        sub.unionByName(rows)
+        .repartition(n_files, "part")
+        .sortWithinPartitions("part", "_o")
+        .drop("_o")
+        .write.option("header", True)
+        .partitionBy("part")
+        .csv(out)
+    )
     acc = files.read_accounts(spark, out, link_column="link", url_prefix="https://twitter.com/", n_columns=5)
-    return acc.select("username", "party", "coalition", "role", "tweets_count")
+    return acc.select("name", "party", "coalition", "role", "username", "tweets_count")
 
 
 _ROLE_CODE = {"user": "z_plus_m", "assistant": "z_minus_m", "system": "z_zero"}

@@ -14,10 +14,13 @@ from chorus.sources.tables import table
 
 @query(
     "project_rename",
-    with_ctes("accounts") + "SELECT username, party, coalition, role AS position, 10 AS weight FROM accounts",
+    with_ctes("posts", "accounts")
+    + "SELECT p.id, a.party, a.coalition, a.role AS position, 10 AS weight FROM posts p JOIN accounts a ON lower(p.username) = lower(a.username)",
 )
 def project_rename(spark, sf):
-    return rel.project_rename(fx.accounts(spark, sf), ["username", "party", "coalition", "role"], {"role": "position"}, {"weight": 10})
+    """Keep four columns of the scored posts, rename the role column, add a constant weight."""
+    j = rel.join_lower_key(fx.posts(spark, sf).select("id", "username"), fx.accounts(spark, sf), "username", "username")
+    return rel.project_rename(j, ["id", "party", "coalition", "role"], {"role": "position"}, {"weight": 10})
 
 
 # Fixed values of the fixture recode (fine event types -> coarse classes)

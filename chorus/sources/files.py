@@ -90,15 +90,17 @@ def read_accounts(
     url_prefix: str = "https://twitter.com/",
     n_columns: int = 5,
 ) -> DataFrame:
-    """Account list: skip the first data line, keep the first ``n_columns`` columns, drop
-    rows with any null, derive ``username`` by stripping the URL prefix, add a null
-    ``tweets_count``."""
+    """Account list: skip the first data line of every file, keep the first
+    ``n_columns`` columns, drop rows with any null, derive ``username`` by stripping the
+    URL prefix, add a null ``tweets_count``."""
     raw = spark.read.options(header=True, multiLine=True, escape='"').csv(path)
     cols = raw.columns[:n_columns]
-    # the first data line of the file is a sub-header; it has the smallest offset
-    indexed = raw.select(*cols).withColumn("_row", F.monotonically_increasing_id())
-    first = indexed.agg(F.min("_row").alias("_first"))
-    body = indexed.join(F.broadcast(first), F.col("_row") != F.col("_first"), "left_semi").drop("_row")
+    # The first data line of each file is a sub-header: within a file the rows keep
+    # file order, so it holds the file's smallest row id (ids come from the file
+    # split plan, which is the same for both uses below).
+    indexed = raw.select(*cols, F.col("_metadata.file_path").alias("_f")).withColumn("_row", F.monotonically_increasing_id())
+    first = indexed.groupBy("_f").agg(F.min("_row").alias("_row"))  # one row per file
+    body = indexed.join(first, ["_f", "_row"], "left_anti").drop("_f", "_row")
     body = body.dropna(how="any")
     return body.withColumn("username", F.replace(F.col(link_column), F.lit(url_prefix), F.lit(""))).withColumn(
         "tweets_count", F.lit(None).cast("long")
