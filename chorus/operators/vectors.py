@@ -122,9 +122,10 @@ def pairwise_distance_hist(df: DataFrame, id_col: str, vec: str, width: float, m
     return parts.groupBy("bin").agg(F.sum("n").cast("long").alias("n"))
 
 
-def knn_candidates(queries: DataFrame, train: DataFrame, id_col: str, vec: str, label: str, k: int, metric: str = "euclidean", block_rows: int = 2048) -> DataFrame:
+def knn_candidates(queries: DataFrame, train: DataFrame, id_col: str, vec: str, label: str, k: int, metric: str = "euclidean", block_rows: int = 2048, exclude_self: bool = False) -> DataFrame:
     """(qid, tid, dist, label): the ``k`` nearest training rows of every query row
-    (ties: smaller training id first)."""
+    (ties: smaller training id first).  ``exclude_self`` skips the pair of a row with
+    itself (leave-one-out when queries and training rows are the same table)."""
     nq = _blocks(queries.count(), block_rows)
     nt = _blocks(train.count(), block_rows)
     nb = max(nq, nt)
@@ -139,11 +140,15 @@ def knn_candidates(queries: DataFrame, train: DataFrame, id_col: str, vec: str,
         a = np.stack(qd["v"].to_numpy())
         b = np.stack(td["v"].to_numpy())
         d = _dist_matrix(a, b, metric)
+        if exclude_self:
+            d[qd["qid"].to_numpy()[:, None] == td["tid"].to_numpy()[None, :]] = np.inf
         kk = min(k, d.shape[1])
         # stable argsort keeps the smaller training id first among equal distances
         idx = np.argsort(d, axis=1, kind="stable")[:, :kk]
         rows = np.repeat(np.arange(d.shape[0]), kk)
         cols = idx.ravel()
+        ok = np.isfinite(d[rows, cols])  # an excluded self pair is never a candidate
+        rows, cols = rows[ok], cols[ok]
         return pd.DataFrame(
             {
                 "qid": qd["qid"].to_numpy()[rows],
@@ -157,11 +162,11 @@ def knn_candidates(queries: DataFrame, train: DataFrame, id_col: str, vec: str,
     return top_n_per_key(cand, ["qid"], [F.asc("dist"), F.asc("tid")], k, "rank")
 
 
-def knn_classify(queries: DataFrame, train: DataFrame, id_col: str, vec: str, label: str, k: int = 5, metric: str = "euclidean", weights: str = "uniform") -> DataFrame:
+def knn_classify(queries: DataFrame, train: DataFrame, id_col: str, vec: str, label: str, k: int = 5, metric: str = "euclidean", weights: str = "uniform", exclude_self: bool = False) -> DataFrame:
     """(id, pred): majority label of the k nearest (``uniform``) or the label with the
     largest sum of 1/distance (``distance``; an exact match wins outright).  Ties go to
     the smallest label."""
-    cand = knn_candidates(queries, train, id_col, vec, label, k, metric)
+    cand = knn_candidates(queries, train, id_col, vec, label, k, metric, exclude_self=exclude_self)
     if weights == "uniform":
         w = F.lit(1.0)
     elif weights == "distance":

@@ -132,9 +132,8 @@ def pairwise_distance_hist(spark, sf):
 
 
 _SQL_KNN = """WITH v AS (SELECT vec_id, label, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS e FROM embeddings),
-q AS (SELECT * FROM v WHERE vec_id % 5 = 0), t AS (SELECT * FROM v WHERE vec_id % 5 <> 0),
 d AS (SELECT q.vec_id AS qid, t.vec_id AS tid, t.label,
-  list_sum(list_transform(list_zip(q.e, t.e), lambda z: abs(z[1] - z[2]))) AS dist FROM q, t),
+  list_sum(list_transform(list_zip(q.e, t.e), lambda z: abs(z[1] - z[2]))) AS dist FROM v q, v t WHERE q.vec_id <> t.vec_id),
 r AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY dist, tid) AS rn FROM d),
 vt AS (SELECT qid, label, count(*) AS c FROM r WHERE rn <= 5 GROUP BY 1, 2),
 b AS (SELECT qid, max(c) AS m FROM vt GROUP BY 1)
@@ -143,11 +142,9 @@ SELECT vt.qid AS vec_id, min(vt.label) AS pred FROM vt JOIN b ON vt.qid = b.qid
 
 @query("knn_classify", _SQL_KNN)
 def knn_classify(spark, sf):
-    """5 nearest neighbours (Manhattan), uniform vote; queries are every fifth vector."""
+    """Leave-one-out 5 nearest neighbours (Manhattan), uniform vote, for every vector."""
     v = fx.vectors(spark, sf)
-    q = v.filter(F.col("vec_id") % 5 == 0)
-    t = v.filter(F.col("vec_id") % 5 != 0)
-    return vo.knn_classify(q, t, "vec_id", "vec", "label", k=5, metric="manhattan", weights="uniform")
+    return vo.knn_classify(v, v, "vec_id", "vec", "label", k=5, metric="manhattan", weights="uniform", exclude_self=True)
 
 
 _STOP_SQL = "(" + ", ".join(f"'{w}'" for w in fx.STOP_WORDS) + ")"
