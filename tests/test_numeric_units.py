@@ -97,3 +97,13 @@ def test_one_hot_and_inverse(spark):
     assert got[0] == ([0, 1, 0], "b")
     assert got[1][0] == [0, 0, 0]  # unknown label: all zeros
     assert not math.isnan(0.0)
+
+
+def test_deltas_and_their_sum(spark):
+    from chorus.operators import series
+
+    df = spark.createDataFrame([(1, 1, 0.5), (1, 2, 0.7), (1, 3, 0.4), (2, 1, 1.0)], "run long, epoch long, v double")
+    d = {(r["run"], r["epoch"]): r["delta"] for r in series.series_delta(df, "run", "epoch", "v").collect()}
+    assert d.keys() == {(1, 2), (1, 3)} and d[(1, 2)] == pytest.approx(0.2) and d[(1, 3)] == pytest.approx(-0.3)
+    s = {r["run"]: r["delta_sum"] for r in series.delta_sum(df, "run", "epoch", "v").collect()}
+    assert s[1] == pytest.approx(-0.1) and s[2] == 0.0
