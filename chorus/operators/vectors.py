@@ -45,30 +45,41 @@ def _dim_stats(df: DataFrame, vec: str) -> DataFrame:
     )
 
 
-def _stat_array(stats: DataFrame, field: str) -> Column:
-    """Per-dimension statistic as an array, delivered as a scalar subquery (one row,
-    width entries)."""
-    return stats.agg(F.transform(F.array_sort(F.collect_list(F.struct("dim", field))), lambda s: s[field])).scalar()
+def _with_stats(df: DataFrame, stats: DataFrame, fields: tuple[str, ...], body, out: str) -> DataFrame:
+    """``df`` plus ``out = body(s)`` with ``s`` = struct of per-dimension statistic arrays.
+
+    The statistics arrive as ONE scalar subquery (one row, vector-width entries),
+    projected as a column (a subquery may not sit inside a higher-order function) and
+    bound once per row through a one-element ``transform``."""
+
+    def field(f):
+        return lambda s: s[f]
+
+    arrays = [F.transform(F.array_sort(F.collect_list(F.struct("dim", f))), field(f)).alias(f) for f in fields]
+    d = df.withColumn("_stats", stats.agg(F.struct(*arrays)).scalar())
+    return d.withColumn(out, F.element_at(F.transform(F.array(F.col("_stats")), body), 1)).drop("_stats")
 
 
 def standardise(df: DataFrame, vec: str, fit: DataFrame | None = None, out: str | None = None) -> DataFrame:
     """(x - mean) / population std per dimension; zero variance divides by 1.
     ``fit`` is the frame the statistics come from (default: ``df``)."""
     stats = _dim_stats(fit if fit is not None else df, vec)
-    # subqueries cannot sit inside a lambda: project them as columns first
-    d = df.withColumn("_mean", _stat_array(stats, "mean")).withColumn("_std", _stat_array(stats, "std"))
-    mean, std = F.col("_mean"), F.col("_std")
-    scaled = F.transform(F.col(vec), lambda x, i: (x - mean[i]) / F.when(std[i] == 0, F.lit(1.0)).otherwise(std[i]))
-    return d.withColumn(out or vec, scaled).drop("_mean", "_std")
+
+    def body(s):
+        return F.transform(F.col(vec), lambda x, i: (x - s["mean"][i]) / F.when(s["std"][i] == 0, F.lit(1.0)).otherwise(s["std"][i]))
+
+    return _with_stats(df, stats, ("mean", "std"), body, out or vec)
 
 
 def minmax_scale(df: DataFrame, vec: str, fit: DataFrame | None = None, out: str | None = None) -> DataFrame:
     """(x - min) / (max - min) per dimension; a constant dimension maps to 0."""
     stats = _dim_stats(fit if fit is not None else df, vec)
-    d = df.withColumn("_lo", _stat_array(stats, "lo")).withColumn("_hi", _stat_array(stats, "hi"))
-    lo, hi = F.col("_lo"), F.col("_hi")
-    scaled = F.transform(F.col(vec), lambda x, i: F.when(hi[i] == lo[i], F.lit(0.0)).otherwise((x - lo[i]) / (hi[i] - lo[i])))
-    return d.withColumn(out or vec, scaled).drop("_lo", "_hi")
+
+    def body(s):
+        lo, hi = s["lo"], s["hi"]
+        return F.transform(F.col(vec), lambda x, i: F.when(hi[i] == lo[i], F.lit(0.0)).otherwise((x - lo[i]) / (hi[i] - lo[i])))
+
+    return _with_stats(df, stats, ("lo", "hi"), body, out or vec)
 
 
 # --- blocked all-pairs ----------------------------------------------------------
