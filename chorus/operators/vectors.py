@@ -24,13 +24,15 @@ from chorus.operators.ranking import top_n_per_key
 AGGREGATES = ("mean",)  # the only user-chosen aggregate the reference accepts
 
 
-def mean_vector_by_key(df: DataFrame, key: str, vec: str, agg: str = "mean", out: str = "vec") -> DataFrame:
-    """Element-wise mean per key (``Summarizer`` - a typed aggregate with map-side
-    combine, no explode).  ``agg`` names the aggregate; unknown names raise."""
+def mean_vector_by_key(df: DataFrame, key: str, vec: str, agg: str = "mean", out: str = "vec", weight: str | None = None) -> DataFrame:
+    """Element-wise (optionally weighted) mean per key (``Summarizer`` - a typed
+    aggregate with map-side combine, no explode).  ``agg`` names the aggregate;
+    unknown names raise."""
     if agg not in AGGREGATES:
         raise ValueError(f"unknown aggregate {agg!r}; expected one of {AGGREGATES}")
     v = array_to_vector(F.col(vec))
-    return df.groupBy(key).agg(vector_to_array(Summarizer.mean(v)).alias(out))
+    m = Summarizer.mean(v, F.col(weight).cast("double")) if weight else Summarizer.mean(v)
+    return df.groupBy(key).agg(vector_to_array(m).alias(out))
 
 
 def explode_vector(df: DataFrame, keys: list[str], vec: str) -> DataFrame:
