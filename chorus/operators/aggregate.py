@@ -74,13 +74,16 @@ def distinct_counts(df: DataFrame, columns: Sequence[str]) -> DataFrame:
 
 # --- A15 -----------------------------------------------------------------------
 def _value_counts(df: DataFrame, column: Column | str) -> DataFrame:
-    """(x, c): one pass over the data; the bin bounds and the bins are then computed
-    from this pre-aggregate (its scan is shared by the subqueries through exchange
-    reuse), not from the rows."""
+    """(x, c): ONE pass over the data.  The bin bounds (a scalar subquery) and the bins
+    are both computed from this pre-aggregate - at most one row per distinct value -
+    which is checkpointed to the shared folder so the input (and any expensive
+    expression in ``column``) is not evaluated a second time for the subquery."""
+    from chorus.session import checkpoint_dir
+
+    checkpoint_dir(df.sparkSession)
     x = _c(column).cast("double")
-    # the null filter runs after the aggregation: a filter on a computed column would
-    # be pushed below the projection and evaluate the expression twice
-    return df.select(x.alias("_x")).groupBy("_x").agg(F.count(F.lit(1)).alias("_c")).filter(F.col("_x").isNotNull())
+    vals = df.select(x.alias("_x")).groupBy("_x").agg(F.count(F.lit(1)).alias("_c")).checkpoint(eager=True)
+    return vals.filter(F.col("_x").isNotNull())
 
 
 def hist_fixed_width(df: DataFrame, column: Column | str, width: float, out: str = "n") -> DataFrame:
