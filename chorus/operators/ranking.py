@@ -80,6 +80,7 @@ def prefix_within(
     inclusive: bool = True,
     out: str = "prefix",
     num_partitions: int | None = None,
+    keep_pieces: bool = False,
 ) -> DataFrame:
     """Running ``max`` / ``sum`` of ``value`` inside each key in ``order`` (inclusive or
     exclusive of the current row), without a window over a whole key.
@@ -87,19 +88,24 @@ def prefix_within(
     Same layout as :func:`position_within`: range partitions over (key, order), a
     per-(partition, key) summary whose own prefix over partitions is small, and a
     window inside each (partition, key) piece, whose size is bounded by a partition.
+    ``keep_pieces`` keeps the piece column ``_pid`` so that a following scan over the
+    same keys and order reuses the layout instead of ranging and checkpointing again.
     """
     spark = df.sparkSession
     n = num_partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
     fn = {"max": F.max, "sum": F.sum}[how]
     key_cols = [F.col(k) for k in keys]
     order_cols = _cols(order)
-    checkpoint_dir(spark)
-    ranged = (
-        df.repartitionByRange(n, *key_cols, *order_cols)
-        .sortWithinPartitions(*key_cols, *order_cols)
-        .withColumn("_pid", F.shiftright(F.monotonically_increasing_id(), _LOCAL_BITS))
-        .checkpoint(eager=True)
-    )
+    if "_pid" in df.columns:  # pieces of an earlier scan over the same keys and order
+        ranged = df
+    else:
+        checkpoint_dir(spark)
+        ranged = (
+            df.repartitionByRange(n, *key_cols, *order_cols)
+            .sortWithinPartitions(*key_cols, *order_cols)
+            .withColumn("_pid", F.shiftright(F.monotonically_increasing_id(), _LOCAL_BITS))
+            .checkpoint(eager=True)
+        )
     pieces = ranged.groupBy("_pid", *keys).agg(fn(value).alias("_pv"))
     wp = Window.partitionBy(*keys).orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
     pieces = pieces.select(
@@ -117,7 +123,8 @@ def prefix_within(
         res = F.when(F.col("_before").isNull() & F.col("_loc").isNull(), F.lit(None)).otherwise(
             F.coalesce(F.col("_before"), F.lit(0)) + F.coalesce(F.col("_loc"), F.lit(0))
         )
-    return j.withColumn(out, res).drop("_pid", "_loc", "_ppid", "_before", *[f"_pk{i}" for i in range(len(keys))])
+    res_df = j.withColumn(out, res).drop("_loc", "_ppid", "_before", *[f"_pk{i}" for i in range(len(keys))])
+    return res_df if keep_pieces else res_df.drop("_pid")
 
 
 def top_n_per_key(df: DataFrame, keys: Sequence[str], order: Sequence[Column | str], n: int, out: str = "rn") -> DataFrame:

@@ -46,7 +46,7 @@ def early_stop(df: DataFrame, run: str, epoch: str, value: str, patience: int =
         # running best and last improvement as skew-safe prefix scans (a long run is
         # split over many tasks); "min" mode scans the negated value
         base = df.select(run, epoch, value).withColumn("_s", F.col(value) if mode == "max" else -F.col(value))
-        h = prefix_within(base, [run], [epoch], "_s", how="max", inclusive=False, out="_best_prev")
+        h = prefix_within(base, [run], [epoch], "_s", how="max", inclusive=False, out="_best_prev", keep_pieces=True)
         h = h.withColumn("_imp", F.when(F.col("_best_prev").isNull() | (F.col("_s") > F.col("_best_prev")), F.col(epoch)))
         h = prefix_within(h, [run], [epoch], "_imp", how="max", inclusive=True, out="_last")
         best_prev = F.col("_best_prev")
