@@ -111,15 +111,39 @@ def hist_fixed_bins(df: DataFrame, column: Column | str, bins: int, out: str = "
 
 
 # --- A17 -----------------------------------------------------------------------
+def exact_quantiles(df: DataFrame, keys: Sequence[str], value: str, quantiles: dict[str, float]) -> DataFrame:
+    """(keys..., name...) exact quantiles with linear interpolation (the pandas / SQL
+    ``quantile_cont`` definition) without holding a group in one task.
+
+    Each row gets its exact rank inside its key from the range-partitioned
+    :func:`position_within`; a small table lists the two ranks every quantile needs
+    (q * (n - 1) rounded down and up), and an equi-join on (key, rank) - hash
+    partitioned on both, so a hot key is spread - fetches those values.  Keys must be
+    non-null.
+    """
+    from chorus.operators.ranking import position_within
+
+    x = df.select(*keys, F.col(value).cast("double").alias("_v")).filter(F.col("_v").isNotNull())
+    n = x.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
+    ranked = position_within(x, list(keys), ["_v"], out="_pos")
+    qs = F.array(*[F.struct(F.lit(name).alias("name"), F.lit(float(q)).alias("q")) for name, q in quantiles.items()])
+    need = n.select(*keys, "_n", F.inline(qs)).withColumn("_h", F.col("q") * (F.col("_n") - 1))
+    need = need.withColumn("_lo", F.floor("_h").cast("long")).withColumn("_hi", F.ceil("_h").cast("long"))
+    want = need.select(*keys, "name", "_h", "_lo", F.explode(F.array_distinct(F.array("_lo", "_hi"))).alias("_pos"))
+    got = want.join(ranked, [*keys, "_pos"])  # groups x quantiles x 2 rows meet the data
+    vals = got.groupBy(*keys, "name", "_h", "_lo").agg(F.min("_v").alias("_a"), F.max("_v").alias("_b"))
+    # values at ranks lo <= hi are ordered, so min/max give the two ends
+    res = vals.select(*keys, "name", (F.col("_a") + (F.col("_b") - F.col("_a")) * (F.col("_h") - F.col("_lo"))).alias("_q"))
+    return res.groupBy(*keys).pivot("name", list(quantiles)).agg(F.first("_q"))
+
+
 def box_summary(df: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
+    """min, quartiles (exact, interpolated) and max per key; the quartiles come from
+    :func:`exact_quantiles`, so a hot key is not gathered into one task."""
     x = F.col(value).cast("double")
-    return df.groupBy(*keys).agg(
-        F.min(x).alias("min"),
-        F.percentile(x, 0.25).alias("q1"),
-        F.percentile(x, 0.5).alias("median"),
-        F.percentile(x, 0.75).alias("q3"),
-        F.max(x).alias("max"),
-    )
+    ends = df.groupBy(*keys).agg(F.min(x).alias("min"), F.max(x).alias("max"))
+    qs = exact_quantiles(df, keys, value, {"q1": 0.25, "median": 0.5, "q3": 0.75})
+    return ends.join(qs, list(keys)).select(*keys, "min", "q1", "median", "q3", "max")
 
 
 # --- A18 -----------------------------------------------------------------------
