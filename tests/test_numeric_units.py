@@ -107,3 +107,13 @@ def test_deltas_and_their_sum(spark):
     assert d.keys() == {(1, 2), (1, 3)} and d[(1, 2)] == pytest.approx(0.2) and d[(1, 3)] == pytest.approx(-0.3)
     s = {r["run"]: r["delta_sum"] for r in series.delta_sum(df, "run", "epoch", "v").collect()}
     assert s[1] == pytest.approx(-0.1) and s[2] == 0.0
+
+
+def test_exact_quantiles_match_percentile_with_hot_key(spark):
+    rows = [("hot" if i % 3 else "k%d" % (i % 5), float((i * 7919) % 1013) / 7.0) for i in range(3000)]
+    df = spark.createDataFrame(rows, "k string, v double")
+    got = {r["k"]: r for r in aggregate.exact_quantiles(df, ["k"], "v", {"a": 0.1, "b": 0.5, "c": 0.93}).collect()}
+    ref = df.groupBy("k").agg(*[F.percentile("v", q).alias(n) for n, q in (("a", 0.1), ("b", 0.5), ("c", 0.93))]).collect()
+    for r in ref:
+        for n in "abc":
+            assert got[r["k"]][n] == pytest.approx(r[n], rel=1e-12, abs=1e-12)
