@@ -120,13 +120,15 @@ def pairwise_distance_hist(df: DataFrame, id_col: str, vec: str, width: float, m
     nb = _blocks(n_rows, block_rows)
     base = df.select(id_col, F.col(vec).cast("array<double>").alias("v"))
     left = _replicate(base, id_col, nb, "left")
-    right = _replicate(base, id_col, nb, "right")
+    # the right side gets its own column names: with two sides of identical lineage
+    # the cogroup has been seen to hand one side over with its key columns only
+    right = _replicate(base.select(F.col(id_col).alias("_rid"), F.col("v").alias("_rv")), "_rid", nb, "right")
 
     def block_hist(l: pd.DataFrame, r: pd.DataFrame) -> pd.DataFrame:
         if l.empty or r.empty:
             return pd.DataFrame({"bin": pd.Series([], dtype="int64"), "n": pd.Series([], dtype="int64")})
         a = np.stack(l["v"].to_numpy())
-        b = np.stack(r["v"].to_numpy())
+        b = np.stack(r["_rv"].to_numpy())
         bins = np.floor(_dist_matrix(a, b, metric) / width).astype(np.int64).ravel()
         u, c = np.unique(bins, return_counts=True)
         return pd.DataFrame({"bin": u, "n": c.astype(np.int64)})

@@ -35,10 +35,42 @@ def get_session(master: str | None = None, app: str = "chorus", shuffle_partitio
     )
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
+    return prepare(spark)
+
+
+_SHIPPED: set[str] = set()
+
+
+def prepare(spark: SparkSession) -> SparkSession:
+    """Ready a session someone else built: shared checkpoint folder and the package
+    on the workers."""
     checkpoint_dir(spark)
+    ship_package(spark)
     return spark
 
 
+def ship_package(spark: SparkSession) -> None:
+    """Make ``chorus`` importable in the Python workers (pandas functions defined in
+    the package run there): the package is zipped once per application and added
+    with ``addPyFile``, Spark's own mechanism for distributing Python code."""
+    import zipfile
+
+    sc = spark.sparkContext
+    app = sc.applicationId
+    if app in _SHIPPED:
+        return
+    pkg = os.path.dirname(os.path.abspath(__file__))
+    target = os.path.join(tempfile.mkdtemp(prefix="chorus-pkg-"), "chorus.zip")
+    with zipfile.ZipFile(target, "w", zipfile.ZIP_DEFLATED) as z:
+        for root, _, files in os.walk(pkg):
+            for f in files:
+                if f.endswith(".py"):
+                    full = os.path.join(root, f)
+                    z.write(full, os.path.relpath(full, os.path.dirname(pkg)))
+    sc.addPyFile(target)
+    _SHIPPED.add(app)
+
+
 def checkpoint_dir(spark: SparkSession) -> str:
     """The shared checkpoint folder; set a private one only when none is configured."""
     sc = spark.sparkContext
