@@ -4,10 +4,53 @@ express the operator; the others are tested in ``tests/llm`` against brute force
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from chorus.llm import linedup, minhash
+from chorus.llm import langid, lattice, linedup, mih, minhash, packing, pii, pivots, sharding, warc
 from chorus.llm.common import read_table
+from chorus.session import scratch_path
+
+
+def op1_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All pages written as WARC records, found again through the capture index and read."""
+    return warc.archive_round_trip(spark, read_table(spark, sf_dir, "pages"))
+
+
+def op2_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents shuffled into 16 shards whose counts are at most one apart."""
+    docs = read_table(spark, sf_dir, "documents")
+    out = sharding.shuffle_shards(docs, scratch_path(spark, "shards"))
+    text = F.coalesce("text", F.lit(""))
+    return out.select(
+        "doc_id", (F.octet_length(text) + 1).cast("long").alias("size"), F.crc32(text).alias("text_crc32"),
+        F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"),
+    )
+
+
+def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Personal data of all documents and the terms that disclose it."""
+    return pii.report(pii.find(read_table(spark, sf_dir, "documents"))).withColumnRenamed("id", "doc_id")
+
+
+def op4_lattice(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two segmentations of every document, sampled without replacement."""
+    docs = read_table(spark, sf_dir, "documents")
+    return lattice.segmentations(docs, public_tokenizers.path("piece_bpe_32k.model")).withColumnRenamed("id", "doc_id")
+
+
+def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language of every document, learned from those that are not held out."""
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    out = langid.identify(docs.select("doc_id", "text"), langid.fit(docs))
+    return out.select("doc_id", langid.held_out().alias("held_out"), "lang_pred", "score", "cross_entropy", "rejected")
+
+
+def op6_multi_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 20 nearest vectors of every vector whose id is divisible by 20."""
+    table = read_table(spark, sf_dir, "embeddings")
+    return mih.search(table, table.where(F.col("vec_id") % 20 == 0), k=20)
 
 
 def op7_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -15,11 +58,27 @@ def op7_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(read_table(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
 
 
+def op8_pivots(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Links and components of all embeddings at cosine 0.95."""
+    return pivots.near_duplicates(read_table(spark, sf_dir, "embeddings"))
+
+
+def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents packed into windows of 2048 tokens."""
+    return packing.pack(read_table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+
+
 def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents without later occurrences of repeated three-line windows."""
     docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
     return linedup.dedup_lines(docs)
 
 
-QUERIES = {f.__name__: f for f in (op7_minhash, op10_line_dedup)}
-ORACLES = {"op10_line_dedup": linedup.ORACLE}
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op1_warc, op2_sharding, op3_pii, op4_lattice, op5_language_id, op6_multi_index, op7_minhash, op8_pivots,
+        op9_packing, op10_line_dedup,
+    )
+}
+ORACLES = {"op1_warc": warc.ORACLE, "op10_line_dedup": linedup.ORACLE}
