@@ -31,9 +31,9 @@ LANE_DOCS = 4096
 # Text made of these characters only is the same under the tokenizer's normaliser but for
 # case, and its letters and digits are told by plain ranges; other texts go to the
 # tokenizer whole.
-_PLAIN = "\t-\r -~¡-©«-±´¶-¸»¿À-įı-ɏ‐-‧‰-⁞€"
+_PLAIN = "\t-\r -~¡-©«-±´¶-¸»¿À-įı-ſ‐-‧‰-⁞€"
 _OTHER = re.compile(f"[^{_PLAIN}]|<\\|(?:start|end)oftext\\|>")
-_LETTER = "a-zÀ-ÖØ-öø-ɏ"
+_LETTER = "a-zÀ-ÖØ-öø-ſ"
 _PRE = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{_LETTER}]+|[0-9]|[^\\s{_LETTER}0-9]+")
 
 

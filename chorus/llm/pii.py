@@ -128,14 +128,19 @@ def _detect(batches):
 
 
 def _count_words(batches):
-    """Words of whole texts, summed per some millions of characters; "" counts all."""
+    """Words of whole texts outside the fixed patterns, summed per some millions of
+    characters; "" counts all."""
     n, size = Counter(), 0
     for b in batches:
         for t in b.column(0).to_pylist():
-            words = _TERM.findall(t.lower())
+            size += len(t)
+            parts, end = [], 0
+            for start, _, stop in base_spans(t):
+                parts.append(t[end : max(start, end)])
+                end = max(end, stop)
+            words = _TERM.findall(" ".join([*parts, t[end:]]).lower())
             n.update(words)
             n[""] += len(words)
-            size += len(t)
             if size > 30_000_000:
                 yield pa.RecordBatch.from_arrays([pa.array(list(n)), pa.array(list(n.values()), pa.int64())], names=["term", "n"])
                 n, size = Counter(), 0

@@ -35,14 +35,18 @@ from chorus.operators.graph import connected_components
 PIVOTS, DEPTH, SHARED = 256, 8, 4
 SAMPLE = 4096
 CHUNK = 256
+APART = 0.7
 
 
-def far_apart(sample: np.ndarray, n: int) -> np.ndarray:
-    """n unit vectors of the sample, each as far as can be from those before."""
+def far_apart(sample: np.ndarray, n: int, most: float = APART) -> np.ndarray:
+    """Up to n unit vectors of the sample, each as far as can be from those before and no
+    nearer than cosine ``most``: inside a dense group, references would order at random."""
     x = sample / np.linalg.norm(sample, axis=1, keepdims=True)
     chosen = [0]
     near = x @ x[0]
     while len(chosen) < min(n, len(x)):
+        if near.min() >= most:
+            break
         chosen.append(int(near.argmin()))
         near = np.maximum(near, x @ x[chosen[-1]])
     return x[chosen]
