@@ -32,7 +32,8 @@ def early_stop(df: DataFrame, run: str, epoch: str, value: str, patience: int =
     Epoch 1 sets the best.  A later epoch improves when it beats the best by more than
     ``min_delta`` (absolute, or percent of the best); otherwise the bad-epoch counter
     grows, and the run stops at the first epoch where it reaches ``patience``.  A NaN
-    value stops at once.  ``stop_epoch`` is null when the run never stops.
+    value never improves and stops at once; ``patience = 0`` never stops on bad epochs.
+    ``stop_epoch`` is null when the run never stops, ``best_epoch`` when every value was NaN.
 
     With ``min_delta == 0`` the best so far is a running max/min and the last
     improvement a running max, both computed by skew-safe prefix scans
@@ -41,23 +42,24 @@ def early_stop(df: DataFrame, run: str, epoch: str, value: str, patience: int =
     that group is one training history, bounded by the epoch budget.
     """
     if mode not in ("min", "max"):
-        raise ValueError(f"mode {mode!r} is unknown")
+        raise ValueError(f"expected mode min or max, got {mode!r}")
     if min_delta == 0.0:
         # running best and last improvement as skew-safe prefix scans (a long run is
         # split over many tasks); "min" mode scans the negated value
-        base = df.select(run, epoch, value).withColumn("_s", F.col(value) if mode == "max" else -F.col(value))
+        base = df.select(run, epoch, value).withColumn(
+            "_s", F.when(~F.isnan(F.col(value)), F.col(value) if mode == "max" else -F.col(value))
+        )
         h = prefix_within(base, [run], [epoch], "_s", how="max", inclusive=False, out="_best_prev", keep_pieces=True)
-        h = h.withColumn("_imp", F.when(F.col("_best_prev").isNull() | (F.col("_s") > F.col("_best_prev")), F.col(epoch)))
+        h = h.withColumn("_imp", F.when((F.col("_s").isNotNull() & F.col("_best_prev").isNull()) | (F.col("_s") > F.col("_best_prev")), F.col(epoch)))
         h = prefix_within(h, [run], [epoch], "_imp", how="max", inclusive=True, out="_last")
-        best_prev = F.col("_best_prev")
-        h = h.withColumn("_stop", F.isnan(F.col(value)) & best_prev.isNotNull() | ((F.col(epoch) - F.col("_last")) >= patience))
+        h = h.withColumn("_stop", F.isnan(F.col(value)) | (F.lit(patience > 0) & ((F.col(epoch) - F.col("_last")) >= patience)))
         stops = h.groupBy(run).agg(
             F.min(F.when(F.col("_stop"), F.col(epoch))).alias("stop_epoch"),
             F.max(epoch).alias("_maxe"),
         )
         j = h.join(stops, run).filter(F.col(epoch) == F.coalesce(F.col("stop_epoch"), F.col("_maxe")))
         best = h.select(run, F.col(epoch).alias("best_epoch"), F.col(value).alias("best_value"))
-        return j.select(run, "stop_epoch", F.col("_last").alias("best_epoch"), F.col(epoch).alias("epochs")).join(best, [run, "best_epoch"]).select(
+        return j.select(run, "stop_epoch", F.col("_last").alias("best_epoch"), F.col(epoch).alias("epochs")).join(best, [run, "best_epoch"], "left").select(
             run, "stop_epoch", "best_epoch", "best_value", "epochs"
         )
     # path-dependent best: fold the ordered history of each run
@@ -73,11 +75,11 @@ def early_stop(df: DataFrame, run: str, epoch: str, value: str, patience: int =
         done = acc["stop"].isNotNull()
         first = acc["best"].isNull()
         bad = F.when(first | better, F.lit(0).cast("long")).otherwise(acc["bad"] + 1)
-        stop_now = ~first & (F.isnan(x["v"]) | (bad >= patience))
+        stop_now = F.isnan(x["v"]) | (~first & F.lit(patience > 0) & (bad >= patience))
         return F.when(done, acc).otherwise(
             F.struct(
-                F.when(first | (better & ~F.isnan(x["v"])), x["v"]).otherwise(acc["best"]).alias("best"),
-                F.when(first | (better & ~F.isnan(x["v"])), x["e"].cast("long")).otherwise(acc["best_e"]).alias("best_e"),
+                F.when((first | better) & ~F.isnan(x["v"]), x["v"]).otherwise(acc["best"]).alias("best"),
+                F.when((first | better) & ~F.isnan(x["v"]), x["e"].cast("long")).otherwise(acc["best_e"]).alias("best_e"),
                 bad.alias("bad"),
                 F.when(stop_now, x["e"].cast("long")).otherwise(F.lit(None).cast("long")).alias("stop"),
                 x["e"].cast("long").alias("last_e"),

@@ -1,8 +1,8 @@
 """Session construction and the shared scratch location.
 
 On a cluster the shared folder is whatever ``spark.checkpoint.dir`` names; this module
-only reads it.  A fresh local folder is created solely when the setting is absent
-(local runs and tests).
+only reads it.  A fresh local folder is created solely on a local master without the
+setting (local runs and tests); on a cluster its absence is an error.
 """
 
 from __future__ import annotations
@@ -79,8 +79,9 @@ def checkpoint_dir(spark: SparkSession) -> str:
         if not sc.getCheckpointDir():
             sc.setCheckpointDir(current)
         return current.rstrip("/")
-    local = tempfile.mkdtemp(prefix="chorus-ckpt-")
-    sc.setCheckpointDir(local)
+    if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+    sc.setCheckpointDir(tempfile.mkdtemp(prefix="chorus-ckpt-"))
     return sc.getCheckpointDir().rstrip("/")
 
 

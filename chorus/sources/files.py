@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from chorus.functions.text import LABEL_MARK, strip_line_quotes
+from chorus.operators.ranking import position_within
 
 # ---------------------------------------------------------------------------
 # Labelled-line codes and their words
@@ -39,36 +40,32 @@ def list_files(spark: SparkSession, pattern: str) -> list[str]:
     return sorted(f for f in out if not f.rsplit("/", 1)[-1].startswith(("_", ".")))
 
 
-def _csv_header(spark: SparkSession, path: str) -> tuple[str, ...]:
-    """Column names from the first line of one file, read through the Hadoop file
-    system (a few bytes per file, no Spark job - like Spark's own header inference)."""
+def _csv_headers(spark: SparkSession, path: str) -> dict[tuple[str, ...], list[str]]:
+    """Files by the column names of their first line, read by one distributed job: the
+    first line of a file is the one at block offset 0."""
     import csv
 
-    jvm = spark.sparkContext._jvm
-    p = jvm.org.apache.hadoop.fs.Path(path)
-    stream = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).open(p)
-    try:
-        reader = jvm.java.io.BufferedReader(jvm.java.io.InputStreamReader(stream, "UTF-8"))
-        line = reader.readLine() or ""
-    finally:
-        stream.close()
-    return tuple(next(csv.reader([line.lstrip("﻿")]), []))
+    lines = spark.read.text(path).select(
+        "value", F.col("_metadata.file_path").alias("f"), F.col("_metadata.file_block_start").alias("b"), F.monotonically_increasing_id().alias("i")
+    )
+    heads = lines.where("b = 0").groupBy("f").agg(F.min_by("value", "i").alias("head"))
+    groups: dict[tuple[str, ...], list[str]] = {}
+    for r in heads.orderBy("f").collect():  # one line per file
+        groups.setdefault(tuple(next(csv.reader([r["head"].lstrip("﻿")]), [])), []).append(r["f"])
+    return groups
 
 
 def read_csv_dir(spark: SparkSession, path: str, schema: T.StructType | str | None = None) -> DataFrame:
     """All CSV files of a directory (or glob), combined by column name.
 
     With a schema every file is read in one scan.  Otherwise files are grouped by
-    their header (only the header line of each file is read) and each group is one
+    their header (one job finds the first line of every file) and each group is one
     scan; the groups are unioned by name, missing columns becoming null.
     """
     opts = dict(header=True, multiLine=True, escape='"', quote='"')
     if schema is not None:
         return spark.read.options(**opts).schema(schema).csv(path)
-    groups: dict[tuple[str, ...], list[str]] = {}
-    for f in list_files(spark, path):
-        groups.setdefault(_csv_header(spark, f), []).append(f)
-    frames = [spark.read.options(**opts).csv(fs) for fs in groups.values()]
+    frames = [spark.read.options(**opts).csv(fs) for fs in _csv_headers(spark, path).values()]
     out = frames[0]
     for fr in frames[1:]:
         out = out.unionByName(fr, allowMissingColumns=True)
@@ -130,10 +127,13 @@ def read_labelled_lines(spark: SparkSession, path: str, codes: dict[str, str] |
 # --- IO5 -------------------------------------------------------------------
 def read_jsonc_list(spark: SparkSession, path: str) -> DataFrame:
     """JSON list of strings with ``//`` comments -> one row per entry (``word``), file order kept
-    in ``pos``."""
+    in ``pos``.  ``//`` inside a string is text; a file that is no list of strings raises."""
     doc = spark.read.text(path, wholetext=True)
-    body = F.regexp_replace(F.col("value"), r"(?m)//.*$", "")
-    return doc.select(F.posexplode(F.from_json(body, "array<string>")).alias("pos", "word"))
+    # a whole string is matched first and put back, so only comments outside are dropped
+    body = F.regexp_replace(F.col("value"), r'("(?:[^"\\\\]|\\\\.)*+")|//[^\n]*', "$1")
+    words = F.from_json(body, "array<string>")
+    words = F.when(words.isNull(), F.raise_error(F.concat(F.lit("not a JSON list of strings: "), F.left(body, F.lit(100))))).otherwise(words)
+    return doc.select(F.posexplode(words).alias("pos", "word"))
 
 
 # --- IO6 -------------------------------------------------------------------
@@ -161,10 +161,10 @@ def read_text_lines(spark: SparkSession, path: str, strip_quotes: bool = False)
 
 
 # --- IO13 ------------------------------------------------------------------
-def write_table(df: DataFrame, name: str, path: str | None = None, index_col: str | None = "index") -> None:
-    """Relational sink that fails when the table exists; writes an index column like the
-    reference (a unique id, not a dense position)."""
-    out = df.withColumn(index_col, F.monotonically_increasing_id()) if index_col else df
+def write_table(df: DataFrame, name: str, path: str | None = None, index_col: str | None = "index", order_by: list[str] | None = None) -> None:
+    """Relational sink that fails when the table exists; writes a dense index 0..n-1 in the
+    order of ``order_by`` (a total order; by default all columns)."""
+    out = position_within(df, [], list(order_by or df.columns), out=index_col) if index_col else df
     w = out.write.mode("errorifexists").format("parquet")
     if path:
         w = w.option("path", path)
@@ -181,11 +181,9 @@ def write_named_texts(df: DataFrame, path: str, key: str = "username", name_col:
 # --- IO15 ------------------------------------------------------------------
 def append_missing_keys(todo: DataFrame, done_path: str, key: str, spark: SparkSession) -> DataFrame:
     """Rows of ``todo`` whose key has no stored partial yet (left anti join)."""
-    try:
-        done = spark.read.parquet(done_path).select(key).distinct()
-    except Exception:  # nothing stored yet
+    if not list_files(spark, done_path):  # nothing stored yet
         return todo
-    return todo.join(done, key, "left_anti")
+    return todo.join(spark.read.parquet(done_path).select(key).distinct(), key, "left_anti")
 
 
 def write_partials(df: DataFrame, path: str, key: str) -> None:
