@@ -11,7 +11,7 @@ from __future__ import annotations
 
 from collections.abc import Iterable, Sequence
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # ---------------------------------------------------------------------------
@@ -73,7 +73,14 @@ def clean_text(col: Column | str, strip_pl: bool = True) -> Column:
     return collapse_spaces(remove_hash_signs(remove_mentions(remove_links(col, strip_pl))))
 
 
-def emoji_to_text(col: Column | str, mapping: Sequence[tuple[str, str]] | Column, prefilter_above: int = 64) -> Column:
+def with_clean(df: DataFrame, col: str, out: str, strip_pl: bool = True) -> DataFrame:
+    """``df`` with ``out`` = cleaned ``col``, evaluated once per row: filters and projections
+    that use ``out`` are not pushed through the generator that produces it."""
+    rest = [c for c in df.columns if c != out]
+    return df.select(*rest, F.inline(F.array(F.struct(clean_text(col, strip_pl).alias(out)))))
+
+
+def emoji_to_text(col: Column | str, mapping: Sequence[tuple[str, str]] | Column) -> Column:
     """Replace each key by ``<description>`` sequentially in mapping order.
 
     Later entries see the output of earlier ones, exactly like a loop of
@@ -88,15 +95,15 @@ def emoji_to_text(col: Column | str, mapping: Sequence[tuple[str, str]] | Column
 
     if isinstance(mapping, Column):
         return run(mapping)
-    if len(mapping) <= prefilter_above:
-        return run(lit_entries(mapping))
-    # Large maps: a key none of whose characters occur in any inserted "<v>" can only
+    # A key none of whose characters occur in any inserted "<v>" can only
     # match text that was in the input already.  Rows that contain no first character
     # of such keys (most rows: no emoji) run only the other keys - exact, and the cost
     # of the full map is paid only by rows that contain a candidate character.
     inserted = set("<>").union(*[set(v) for _, v in mapping])
     safe_first = sorted({k[:1] for k, _ in mapping if k and not set(k) & inserted})
     rest = [(k, v) for k, v in mapping if not k or set(k) & inserted]
+    if not safe_first:
+        return run(lit_entries(mapping))
     guard = "[" + "".join(f"\\x{{{ord(c):X}}}" for c in safe_first) + "]"
     return F.when(_c(col).rlike(guard), run(lit_entries(mapping))).otherwise(run(lit_entries(rest)) if rest else _c(col))
 
@@ -133,8 +140,12 @@ def token_count(col: Column | str) -> Column:
 def remove_stopwords(col: Column | str, stop_words: Iterable[str] | Column) -> Column:
     """Split on single spaces (empty tokens kept), drop stop words case-sensitively, keep
     duplicates and order, re-join with one space."""
-    stop = stop_words if isinstance(stop_words, Column) else F.array(*[F.lit(w) for w in sorted(set(stop_words))])
-    return F.array_join(F.filter(F.split(_c(col), " ", -1), lambda t: ~F.array_contains(stop, t)), " ")
+    if isinstance(stop_words, Column):
+        keep = lambda t: ~F.array_contains(stop_words, t)
+    else:
+        words = sorted(set(stop_words))
+        keep = lambda t: ~t.isin(*words)  # noqa: E731  a literal list is a hash lookup
+    return F.array_join(F.filter(F.split(_c(col), " ", -1), keep), " ")
 
 
 def format_training_row(label: Column | str, text: Column | str) -> Column:

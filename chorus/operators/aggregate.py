@@ -1,9 +1,8 @@
 """Grouped and global aggregates.
 
 All of these are hash aggregations with map-side partial aggregation, so a hot key
-only costs one partial row per map task.  Exact quantiles use Spark's ``percentile``
-(linear interpolation, the pandas definition); they keep a value->count map per group,
-so they are meant for low-cardinality inputs such as per-key counts or scores.
+only costs one partial row per map task.  Exact quantiles (linear interpolation, the pandas
+definition) come from value counts and prefix sums, so no group sits in one task.
 """
 
 from __future__ import annotations
@@ -51,17 +50,12 @@ def length_stats(df: DataFrame, text: str) -> DataFrame:
 # --- A12 -----------------------------------------------------------------------
 def describe(df: DataFrame, column: str) -> DataFrame:
     """count, mean, std (n-1), min, quartiles (linear interpolation), max."""
-    x = F.col(column).cast("double")
-    return df.agg(
-        F.count(x).alias("count"),
-        F.avg(x).alias("mean"),
-        F.stddev_samp(x).alias("std"),
-        F.min(x).alias("min"),
-        F.percentile(x, 0.25).alias("q25"),
-        F.percentile(x, 0.5).alias("q50"),
-        F.percentile(x, 0.75).alias("q75"),
-        F.max(x).alias("max"),
-    )
+    x = F.col("_x")
+    one = df.select(F.lit(0).alias("_all"), F.col(column).cast("double").alias("_x"))
+    plain = one.agg(F.count(x).alias("count"), F.avg(x).alias("mean"), F.stddev_samp(x).alias("std"), F.min(x).alias("min"), F.max(x).alias("max"))
+    quartiles = exact_quantiles(one, ["_all"], "_x", {"q25": 0.25, "q50": 0.5, "q75": 0.75})
+    plain = plain.withColumn("_q", quartiles.select(F.struct("q25", "q50", "q75")).scalar())
+    return plain.select("count", "mean", "std", "min", "_q.q25", "_q.q50", "_q.q75", "max")
 
 
 # --- A13 -----------------------------------------------------------------------
@@ -115,26 +109,29 @@ def exact_quantiles(df: DataFrame, keys: Sequence[str], value: str, quantiles: d
     """(keys..., name...) exact quantiles with linear interpolation (the pandas / SQL
     ``quantile_cont`` definition) without holding a group in one task.
 
-    Each row gets its exact rank inside its key from the range-partitioned
-    :func:`position_within`; a small table lists the two ranks every quantile needs
-    (q * (n - 1) rounded down and up), and an equi-join on (key, rank) - hash
-    partitioned on both, so a hot key is spread - fetches those values.  Keys must be
-    non-null.
+    Equal values are counted first, so a value that fills a third of a key is one row; the
+    number of rows up to each distinct value is a skew-safe prefix sum
+    (:func:`chorus.operators.ranking.prefix_within`).  The two ranks a quantile needs
+    (q * (n - 1) rounded down and up) are looked up in these intervals.  Keys must be non-null.
     """
-    from chorus.operators.ranking import position_within
+    from chorus.operators.ranking import prefix_within
 
     x = df.select(*keys, F.col(value).cast("double").alias("_v")).filter(F.col("_v").isNotNull())
-    n = x.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
-    ranked = position_within(x, list(keys), ["_v"], out="_pos")
-    qs = F.array(*[F.struct(F.lit(name).alias("name"), F.lit(float(q)).alias("q")) for name, q in quantiles.items()])
-    need = n.select(*keys, "_n", F.inline(qs)).withColumn("_h", F.col("q") * (F.col("_n") - 1))
-    need = need.withColumn("_lo", F.floor("_h").cast("long")).withColumn("_hi", F.ceil("_h").cast("long"))
-    want = need.select(*keys, "name", "_h", "_lo", F.explode(F.array_distinct(F.array("_lo", "_hi"))).alias("_pos"))
-    got = want.join(ranked, [*keys, "_pos"])  # groups x quantiles x 2 rows meet the data
-    vals = got.groupBy(*keys, "name", "_h", "_lo").agg(F.min("_v").alias("_a"), F.max("_v").alias("_b"))
-    # values at ranks lo <= hi are ordered, so min/max give the two ends
-    res = vals.select(*keys, "name", (F.col("_a") + (F.col("_b") - F.col("_a")) * (F.col("_h") - F.col("_lo"))).alias("_q"))
-    return res.groupBy(*keys).pivot("name", list(quantiles)).agg(F.first("_q"))
+    counts = x.groupBy(*keys, "_v").agg(F.count(F.lit(1)).alias("_c"))
+    upto = prefix_within(counts, list(keys), ["_v"], "_c", how="sum", out="_end")
+    n = upto.groupBy(*keys).agg(F.sum("_c").alias("_n"))
+    qs = F.array(*[F.struct(F.lit(name).alias("name"), (F.lit(float(q)) * (F.col("_n") - 1)).alias("h")) for name, q in quantiles.items()])
+    need = n.select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)], qs.alias("_q"))
+    same = F.lit(True)
+    for i, k in enumerate(keys):
+        same = same & (F.col(k) == F.col(f"_k{i}"))
+    lo, hi = lambda q: F.floor(q["h"]), lambda q: F.ceil(q["h"])
+    inside = lambda r: (r >= F.col("_end") - F.col("_c")) & (r < F.col("_end"))
+    hits = F.filter("_q", lambda q: inside(lo(q)) | inside(hi(q)))
+    got = upto.join(need, same).withColumn("_q", hits).where(F.size("_q") > 0)  # few rows a key are left
+    ends = got.select(*keys, "_v", F.inline("_q")).groupBy(*keys, "name", "h").agg(F.min("_v").alias("_a"), F.max("_v").alias("_b"))
+    res = ends.select(*keys, "name", (F.col("_a") + (F.col("_b") - F.col("_a")) * (F.col("h") - F.floor("h"))).alias("_x"))
+    return res.groupBy(*keys).pivot("name", list(quantiles)).agg(F.first("_x"))
 
 
 def box_summary(df: DataFrame, keys: Sequence[str], value: str) -> DataFrame:

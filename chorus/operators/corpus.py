@@ -15,8 +15,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from chorus.functions import text as tx
-from chorus.operators.relational import sized_broadcast
 from chorus.operators.ranking import top_n_per_key
+from chorus.session import checkpoint_dir
 
 
 def explode_tokens(df: DataFrame, text: str, keep: Sequence[str] = ()) -> DataFrame:
@@ -70,13 +70,13 @@ def vocabulary(
         kept = kept.orderBy(F.desc("n"), F.asc("term")).limit(max_features)
     if stop_words is not None:
         if isinstance(stop_words, DataFrame):
-            kept = kept.join(sized_broadcast(stop_words.select(F.col(stop_words.columns[0]).alias("term"))), "term", "left_anti")
+            kept = kept.join(stop_words.select(F.col(stop_words.columns[0]).alias("term")), "term", "left_anti")
         else:
             kept = kept.filter(~F.col("term").isin(*list(stop_words)))
     return kept
 
 
-def term_frequencies(df: DataFrame, text: str, id_col: str, stop_words: Iterable[str] | None = None, max_features: int = 1000, min_df: int = 2) -> DataFrame:
+def term_frequencies(df: DataFrame, text: str, id_col: str, stop_words: Iterable[str] | None = None, max_features: int | None = 1000, min_df: int = 2) -> DataFrame:
     """(term, n, df) of the corpus vocabulary; order at the sink by n desc, term asc."""
     ex = df.select(F.inline(_term_hits(text)))
     stats = ex.groupBy("term").agg(F.sum("_o").cast("long").alias("n"), F.sum("_d").cast("long").alias("df"))
@@ -90,21 +90,23 @@ def term_counts_by_dim(
     key: str,
     dims: DataFrame,
     dim_names: Sequence[str],
-    top: int | None = 20,
+    top: int | None = None,
     max_features: int = 1000,
     stop_words: Iterable[str] | None = None,
 ) -> DataFrame:
-    """(dim, key, term, n, rank): vocabulary term counts per key of each dimension.
+    """(dim, key, term, n): vocabulary term counts per key of each dimension, dense: every
+    key has a row for every vocabulary term, 0 where the term does not occur.
 
     ``dims`` maps ``key`` to the other dimension columns (``dim_names``).  Counts are
     aggregated once per (key, term), then widened with grouping sets, so the Expand
-    multiplies only the pre-aggregated rows.  ``top`` keeps the first terms per
-    (dim, key) by count desc, term asc (sparse form); ``top=None`` keeps all.
+    multiplies only the pre-aggregated rows.  ``top`` gives a report of the first terms per
+    (dim, key) by count desc, term asc instead, with their ``rank``.
     """
-    stats = key_term_counts(df, text, key, id_col).persist()
+    checkpoint_dir(df.sparkSession)
+    stats = key_term_counts(df, text, key, id_col).checkpoint()  # read twice: vocabulary and counts
     vocab = vocabulary(stats, max_features=max_features, stop_words=stop_words).select("term")
     kt = stats.join(F.broadcast(vocab), "term").select(key, "term", "n")  # vocab <= max_features rows
-    wide = kt.join(sized_broadcast(dims.select(key, *dim_names)), key)
+    wide = kt.join(dims.select(key, *dim_names), key)
     sets = [[d, "term"] for d in [key, *dim_names]]
     grouped = wide.groupingSets(sets, *[key, *dim_names], "term").agg(
         F.sum("n").cast("long").alias("n"), F.grouping_id().alias("_g")
@@ -114,7 +116,13 @@ def term_counts_by_dim(
     key_col = F.coalesce(*[F.when(F.col("_g") == _gid(names, c), F.col(c).cast("string")) for c in names])
     out = grouped.select(dim_col.alias("dim"), key_col.alias("key"), "term", "n").filter(F.col("key").isNotNull())
     if top is None:
-        return out
+        # the vocabulary has at most max_features terms: one bounded array for every key
+        terms = vocab.agg(F.collect_list("term")).scalar()
+        links = dims.select(key, *dim_names).join(stats.select(key).distinct(), key, "left_semi")
+        pairs = F.array(*[F.struct(F.lit(c).alias("dim"), F.col(c).cast("string").alias("key")) for c in names])
+        every = links.select(F.inline(pairs)).where(F.col("key").isNotNull()).distinct()
+        grid = every.withColumn("_terms", terms).select("dim", "key", F.explode("_terms").alias("term"))
+        return grid.join(out, ["dim", "key", "term"], "left").select("dim", "key", "term", F.coalesce("n", F.lit(0)).alias("n"))
     return top_n_per_key(out, ["dim", "key"], [F.desc("n"), F.asc("term")], top, "rank")
 
 
@@ -165,7 +173,7 @@ def lemmatize_by_dictionary(df: DataFrame, id_col: str, text: str, dictionary: D
     is_word = F.col("token").rlike(r"(?U)^\w+$")
     toks = toks.withColumn("form", F.lower("token"))
     dic = dictionary.select(F.col("form"), F.col("lemma"), F.col("pos").alias("tag"))
-    j = toks.join(sized_broadcast(dic), "form", "left")
+    j = toks.join(dic, "form", "left")
     tag = F.when(~is_word, F.lit("interp")).otherwise(F.coalesce(F.col("tag"), F.lit("ign")))
     lemma = F.when(~is_word, F.col("token")).otherwise(F.coalesce(F.col("lemma"), F.col("token")))
     j = j.select(id_col, "pos", "sep", "sentence", tag.alias("tag"), lemma.alias("lemma"))

@@ -1,8 +1,7 @@
 """Projections, filters, joins and set operations.
 
-Joins against dimension tables go through :func:`sized_broadcast`, which only
-broadcasts a side after checking that it is below a row bound and otherwise lets
-Spark pick a shuffle join.  Anti joins are ``left_anti`` (null keys of the left side
+No join is forced to broadcast: adaptive execution knows the bytes of a finished side and
+converts the join when they are below ``spark.sql.autoBroadcastJoinThreshold``.  Anti joins are ``left_anti`` (null keys of the left side
 are kept, as pandas ``~isin`` keeps them), never ``NOT IN``.
 """
 
@@ -13,19 +12,6 @@ from collections.abc import Iterable, Mapping, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-DEFAULT_BROADCAST_ROWS = 2_000_000
-
-
-def sized_broadcast(df: DataFrame, max_rows: int = DEFAULT_BROADCAST_ROWS) -> DataFrame:
-    """``broadcast(df)`` if it holds at most ``max_rows`` rows, else ``df`` unchanged.
-
-    The check reads at most ``max_rows + 1`` rows (a limit pushed into the scan), so
-    it is cheap exactly when broadcasting is appropriate.
-    """
-    if df.limit(max_rows + 1).count() <= max_rows:
-        return F.broadcast(df)
-    return df
-
 
 # --- P1 / P2 / P3 ------------------------------------------------------------
 def project_rename(df: DataFrame, keep: Sequence[str], rename: Mapping[str, str] | None = None, constants: Mapping[str, object] | None = None) -> DataFrame:
@@ -85,11 +71,11 @@ def null_counts(df: DataFrame, columns: Sequence[str] | None = None) -> DataFram
 
 
 # --- J1-J5 -------------------------------------------------------------------
-def join_lower_key(facts: DataFrame, dim: DataFrame, fact_key: str, dim_key: str, how: str = "inner", max_dim_rows: int = DEFAULT_BROADCAST_ROWS) -> DataFrame:
-    """Equi join on lower-cased keys; the dimension is broadcast behind a size check."""
+def join_lower_key(facts: DataFrame, dim: DataFrame, fact_key: str, dim_key: str, how: str = "inner") -> DataFrame:
+    """Equi join on lower-cased keys."""
     d = dim.withColumn("_k", F.lower(F.col(dim_key))).drop(dim_key)
     f = facts.withColumn("_k", F.lower(F.col(fact_key)))
-    return f.join(sized_broadcast(d, max_dim_rows), "_k", how).drop("_k")
+    return f.join(d, "_k", how).drop("_k")
 
 
 def join_with_suffixes(left: DataFrame, right: DataFrame, on: str, how: str = "inner", suffixes: tuple[str, str] = ("_x", "_y")) -> DataFrame:

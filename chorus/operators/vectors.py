@@ -5,7 +5,7 @@ All-pairs work is blocked: vectors are dealt into ``B`` hash blocks, each block
 replicated to the ``B`` block pairs it takes part in, and a cogrouped pandas function
 computes one block pair's distance matrix with NumPy.  Only reduced results leave a
 task (histogram counts, or the ``k`` best candidates per query), never the pairs, and
-a task holds two blocks of bounded size whatever the total size is.
+a task holds blocks of bounded size, and distances are formed in slices of bounded bytes.
 """
 
 from __future__ import annotations
@@ -21,6 +21,7 @@ from pyspark.sql import functions as F
 
 from chorus.operators.ranking import top_n_per_key
 
+SPAN = 8  # training blocks that one task of a neighbour search goes through
 AGGREGATES = ("mean",)  # the only user-chosen aggregate the reference accepts
 
 
@@ -35,16 +36,31 @@ def mean_vector_by_key(df: DataFrame, key: str, vec: str, agg: str = "mean", out
     return df.groupBy(key).agg(vector_to_array(m).alias(out))
 
 
+def mean_word_vectors(df: DataFrame, id_col: str, text: str, word_vectors: DataFrame) -> DataFrame:
+    """(id, vec): mean of the vectors (term, vec) of a text's known words, each counted as
+    often as it occurs.  Occurrences are counted per (text, term) first, so a vector is joined
+    once per distinct word of a text."""
+    from chorus.operators.corpus import explode_tokens
+
+    n = explode_tokens(df, text, [id_col]).groupBy(id_col, "term").agg(F.count(F.lit(1)).alias("_n"))
+    return mean_vector_by_key(n.join(word_vectors, "term"), id_col, "vec", weight="_n")
+
+
 def explode_vector(df: DataFrame, keys: list[str], vec: str) -> DataFrame:
     """Long form (*keys, dim, value) of an array column."""
     return df.select(*keys, F.posexplode(vec).alias("dim", "value")).withColumn("dim", F.col("dim").cast("long"))
 
 
 def _dim_stats(df: DataFrame, vec: str) -> DataFrame:
-    ex = df.select(F.posexplode(vec).alias("dim", "x"))
-    return ex.groupBy("dim").agg(
-        F.avg("x").alias("mean"), F.stddev_pop("x").alias("std"), F.min("x").alias("lo"), F.max("x").alias("hi")
+    """One row (dim, mean, std, lo, hi) per dimension; a task keeps one summary of all."""
+    m = Summarizer.metrics("mean", "variance", "min", "max", "count").summary(array_to_vector(F.col(vec)))
+    one = df.agg(m.alias("s")).select(
+        F.col("s.count").alias("n"), *[vector_to_array(f"s.{f}").alias(f) for f in ("mean", "variance", "min", "max")]
     )
+    # the summary's variance divides by n - 1
+    pop = lambda v: F.sqrt(F.greatest(v, F.lit(0.0)) * (F.col("n") - 1) / F.col("n"))
+    z = F.arrays_zip("mean", F.transform("variance", pop).alias("std"), F.col("min").alias("lo"), F.col("max").alias("hi"))
+    return one.select(F.posexplode(z).alias("dim", "z")).select("dim", "z.mean", "z.std", "z.lo", "z.hi")
 
 
 def _with_stats(df: DataFrame, stats: DataFrame, fields: tuple[str, ...], body, out: str) -> DataFrame:
@@ -100,7 +116,22 @@ def _replicate(df: DataFrame, id_col: str, nblocks: int, side: str) -> DataFrame
     return df.select("*", F.explode(others).alias("_bl"), own.alias("_br"))
 
 
-def _dist_matrix(a: np.ndarray, b: np.ndarray, metric: str, p: float = 2.0) -> np.ndarray:
+def _meet(df: DataFrame, id_col: str, left: int, right: int, side: str) -> DataFrame:
+    """Rows in every pair of their own block with the blocks of the other side."""
+    other = F.explode(F.sequence(F.lit(0).cast("long"), F.lit((right if side == "left" else left) - 1).cast("long")))
+    own = F.pmod(F.xxhash64(F.col(id_col)), F.lit(left if side == "left" else right)).cast("long")
+    return df.select("*", *((own.alias("_bl"), other.alias("_br")) if side == "left" else (other.alias("_bl"), own.alias("_br"))))
+
+
+def _dist_matrix(a: np.ndarray, b: np.ndarray, metric: str, p: float = 2.0, slice_bytes: int = 64 << 20) -> np.ndarray:
+    """Distances of all rows; differences are formed for so many rows of ``a`` at a time that
+    they take ``slice_bytes`` at most, whatever the width."""
+    step = max(1, slice_bytes // max(1, 8 * b.size))
+    if step < len(a):
+        out = np.empty((len(a), len(b)))
+        for i in range(0, len(a), step):
+            out[i : i + step] = _dist_matrix(a[i : i + step], b, metric, p, slice_bytes)
+        return out
     d = a[:, None, :] - b[None, :, :]
     if metric == "euclidean" or (metric == "minkowski" and p == 2.0):
         return np.sqrt((d * d).sum(axis=2))
@@ -123,15 +154,17 @@ def pairwise_distance_hist(df: DataFrame, id_col: str, vec: str, width: float, m
     # the right side gets its own column names: with two sides of identical lineage
     # the cogroup has been seen to hand one side over with its key columns only
     right = _replicate(base.select(F.col(id_col).alias("_rid"), F.col("v").alias("_rv")), "_rid", nb, "right")
+    # a pair of different blocks is computed once and counts for both directions
+    left, right = (d.where(F.col("_bl") <= F.col("_br")) for d in (left, right))
 
-    def block_hist(l: pd.DataFrame, r: pd.DataFrame) -> pd.DataFrame:
+    def block_hist(key, l: pd.DataFrame, r: pd.DataFrame) -> pd.DataFrame:
         if l.empty or r.empty:
             return pd.DataFrame({"bin": pd.Series([], dtype="int64"), "n": pd.Series([], dtype="int64")})
         a = np.stack(l["v"].to_numpy())
         b = np.stack(r["_rv"].to_numpy())
         bins = np.floor(_dist_matrix(a, b, metric) / width).astype(np.int64).ravel()
         u, c = np.unique(bins, return_counts=True)
-        return pd.DataFrame({"bin": u, "n": c.astype(np.int64)})
+        return pd.DataFrame({"bin": u, "n": c.astype(np.int64) * (1 if key[0] == key[1] else 2)})
 
     parts = left.groupBy("_bl", "_br").cogroup(right.groupBy("_bl", "_br")).applyInPandas(block_hist, "bin long, n long")
     return parts.groupBy("bin").agg(F.sum("n").cast("long").alias("n"))
@@ -142,36 +175,32 @@ def knn_candidates(queries: DataFrame, train: DataFrame, id_col: str, vec: str,
     (ties: smaller training id first).  ``exclude_self`` skips the pair of a row with
     itself (leave-one-out when queries and training rows are the same table)."""
     nq = _blocks(queries.count(), block_rows)
-    nt = _blocks(train.count(), block_rows)
-    nb = max(nq, nt)
-    q = _replicate(queries.select(F.col(id_col).alias("qid"), F.col(vec).cast("array<double>").alias("v")), "qid", nb, "left")
-    t = _replicate(train.select(F.col(id_col).alias("tid"), F.col(vec).cast("array<double>").alias("v"), F.col(label).alias("label")), "tid", nb, "right")
+    nt = _blocks(train.count(), SPAN * block_rows)
+    q = queries.select(F.col(id_col).alias("qid"), F.col(vec).cast("array<double>").alias("v"))
+    t = train.select(F.col(id_col).alias("tid"), F.col(vec).cast("array<double>").alias("v"), F.col(label).alias("label"))
+    q, t = _meet(q, "qid", nq, nt, "left"), _meet(t, "tid", nq, nt, "right")
     label_type = train.schema[label].dataType.simpleString()
 
     def block_knn(qd: pd.DataFrame, td: pd.DataFrame) -> pd.DataFrame:
         if qd.empty or td.empty:
             return pd.DataFrame({"qid": pd.Series([], dtype="int64"), "tid": pd.Series([], dtype="int64"), "dist": pd.Series([], dtype="float64"), "label": pd.Series([], dtype=object)})
-        td = td.sort_values("tid", kind="stable")
+        td = td.sort_values("tid", kind="stable").reset_index(drop=True)
         a = np.stack(qd["v"].to_numpy())
-        b = np.stack(td["v"].to_numpy())
-        d = _dist_matrix(a, b, metric)
-        if exclude_self:
-            d[qd["qid"].to_numpy()[:, None] == td["tid"].to_numpy()[None, :]] = np.inf
-        kk = min(k, d.shape[1])
-        # stable argsort keeps the smaller training id first among equal distances
-        idx = np.argsort(d, axis=1, kind="stable")[:, :kk]
-        rows = np.repeat(np.arange(d.shape[0]), kk)
-        cols = idx.ravel()
-        ok = np.isfinite(d[rows, cols])  # an excluded self pair is never a candidate
+        tid, qid = td["tid"].to_numpy(), qd["qid"].to_numpy()
+        best, at = np.empty((len(a), 0)), np.empty((len(a), 0), dtype=np.int64)
+        for lo in range(0, len(td), block_rows):  # the k best so far and one more slice
+            part = np.arange(lo, min(lo + block_rows, len(td)))
+            d = _dist_matrix(a, np.stack(td["v"].to_numpy()[part]), metric)
+            if exclude_self:
+                d[qid[:, None] == tid[part][None, :]] = np.inf
+            d, i = np.concatenate([best, d], 1), np.concatenate([at, np.broadcast_to(part, d.shape)], 1)
+            # stable: the smaller training id stays first among equal distances
+            o = np.argsort(d, axis=1, kind="stable")[:, :k]
+            best, at = np.take_along_axis(d, o, 1), np.take_along_axis(i, o, 1)
+        rows, cols = np.repeat(np.arange(len(a)), best.shape[1]), at.ravel()
+        ok = np.isfinite(best.ravel())  # an excluded self pair is never a candidate
         rows, cols = rows[ok], cols[ok]
-        return pd.DataFrame(
-            {
-                "qid": qd["qid"].to_numpy()[rows],
-                "tid": td["tid"].to_numpy()[cols],
-                "dist": d[rows, cols],
-                "label": td["label"].to_numpy()[cols],
-            }
-        )
+        return pd.DataFrame({"qid": qid[rows], "tid": tid[cols], "dist": best.ravel()[ok], "label": td["label"].to_numpy()[cols]})
 
     cand = q.groupBy("_bl", "_br").cogroup(t.groupBy("_bl", "_br")).applyInPandas(block_knn, f"qid long, tid long, dist double, label {label_type}")
     return top_n_per_key(cand, ["qid"], [F.asc("dist"), F.asc("tid")], k, "rank")

@@ -1,21 +1,11 @@
-"""Driver tables: one parquet file per table below an ``sf`` directory.
-
-Reads are lazy; Catalyst prunes columns and pushes filters into the parquet scan
-(both pass through the optional round-robin spread below).
-
-Input splits: on a cluster a 100 TB table arrives as thousands of splits and the
-scan is already parallel.  The driver's test files hold a single row group each, so
-a scan would be one task and CPU-heavy text work would run on one core.  For the
-large tables, when the scan yields fewer splits than the session's parallelism, the
-rows are spread round-robin over that many partitions and kept (memory and disk,
-recomputable from the file) - a plain repartition would not do, because Catalyst
-pushes expensive filters on derived text below it, back into the one-task scan.
-At scale the check is a no-op: no shuffle and no cache are added.
+"""Driver tables: one parquet file (or folder) per table below an ``sf`` directory.
+
+Reads are plain scans: Catalyst prunes columns and pushes filters into the parquet
+reader, and the number of tasks follows from the table's splits.
 """
 
 from __future__ import annotations
 
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 
 TABLES = (
@@ -23,23 +13,11 @@ TABLES = (
     "embeddings pages benchmark labels conversations"
 ).split()
 
-# tables whose per-row work (regex, tokens, vectors, windows) is worth spreading
-SPREAD = {"documents", "conversations", "pages", "events", "lineitem", "orders", "embeddings"}
-
 
-def table(spark: SparkSession, sf_dir: str, name: str, spread: bool | None = None) -> DataFrame:
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     if name not in TABLES:
         raise ValueError(f"unknown table {name!r}")
-    df = spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
-    if spread if spread is not None else name in SPREAD:
-        try:
-            want = spark.sparkContext.defaultParallelism
-            splits = df.rdd.getNumPartitions()
-        except Exception:  # no RDD view of the plan (e.g. a remote session): leave the scan as is
-            return df
-        if splits < want:
-            df = df.repartition(want).persist(StorageLevel.MEMORY_AND_DISK)
-    return df
+    return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
 def register_views(spark: SparkSession, sf_dir: str) -> None:
