@@ -2,14 +2,7 @@
 
 from __future__ import annotations
 
-from chorus.plans import q_aggregate, q_relational, q_text  # noqa: F401
+from chorus.plans import q_aggregate, q_checks, q_eval, q_io, q_ml, q_relational, q_text, q_vectors  # noqa: F401
 from chorus.plans.registry import ORACLES, QUERIES
 
-for _mod in ("q_eval", "q_vectors", "q_io", "q_ml"):
-    try:
-        __import__(f"chorus.plans.{_mod}")
-    except ModuleNotFoundError as e:  # modules still being added
-        if e.name != f"chorus.plans.{_mod}":
-            raise
-
 __all__ = ["QUERIES", "ORACLES"]

@@ -58,11 +58,12 @@ def posts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def accounts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """accounts(username, party, coalition, role): upper-case names, two sources left out."""
-    n = table(spark, sf_dir, "nation").filter(F.col("n_nationkey") < 18)
+    """accounts(username, party, coalition, role): upper-case names; the accounts from 18 up
+    write no posts."""
+    n = table(spark, sf_dir, "nation")
     r = table(spark, sf_dir, "region")
     return n.join(r, n.n_regionkey == r.r_regionkey).select(
-        F.concat(F.lit("SRC"), _s("n_nationkey")).alias("username"),
+        F.concat(F.when(F.col("n_nationkey") < 18, F.lit("SRC")).otherwise(F.lit("QUIET")), _s("n_nationkey")).alias("username"),
         F.col("n_name").alias("party"),
         F.col("r_name").alias("coalition"),
         F.concat(F.lit("role"), (F.col("n_nationkey") % 3).cast("string")).alias("role"),
@@ -103,9 +104,9 @@ def predictions(spark: SparkSession, sf_dir: str, variant: bool = False) -> Data
 
 
 def topic_distributions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(vec_id, label, dist array<double>): |first 10 embedding entries| normalised to 1."""
+    """(vec_id, label, dist array<double>): |embedding entries| normalised to 1."""
     e = table(spark, sf_dir, "embeddings")
-    a = F.transform(F.slice("embedding", 1, 10), lambda x: F.abs(x.cast("double")))
+    a = F.transform("embedding", lambda x: F.abs(x.cast("double")))
     tot = F.aggregate(a, F.lit(0.0).cast("double"), lambda acc, x: acc + x)
     return e.select("vec_id", "label", F.transform(a, lambda x: x / tot).alias("dist"))
 
@@ -153,9 +154,9 @@ SQL_CTES = {
     WHEN 4 THEN '#' || text || ' 😀🙂'
     ELSE text END AS tweet
   FROM documents)""",
-    "accounts": """accounts AS (SELECT 'SRC' || CAST(n.n_nationkey AS VARCHAR) AS username, n.n_name AS party,
+    "accounts": """accounts AS (SELECT CASE WHEN n.n_nationkey < 18 THEN 'SRC' ELSE 'QUIET' END || CAST(n.n_nationkey AS VARCHAR) AS username, n.n_name AS party,
   r.r_name AS coalition, 'role' || CAST(n.n_nationkey % 3 AS VARCHAR) AS role
-  FROM nation n JOIN region r ON n.n_regionkey = r.r_regionkey WHERE n.n_nationkey < 18)""",
+  FROM nation n JOIN region r ON n.n_regionkey = r.r_regionkey)""",
     "annotations": """annotations AS (SELECT l.doc_id AS item,
   CASE WHEN l.doc_id % 13 = 0 THEN NULL ELSE CAST(l.quality AS VARCHAR) END AS r1,
   CAST(l.toxic AS VARCHAR) AS r2,
@@ -169,7 +170,7 @@ SQL_CTES = {
                    ELSE (CASE WHEN vec_id % 3 = 0 THEN vec_id % 10 ELSE label END) END AS VARCHAR) AS pred
   FROM embeddings)""",
     "topic_long": """topic_raw AS (SELECT vec_id, label, i - 1 AS topic, abs(CAST(embedding[i] AS DOUBLE)) AS a
-  FROM embeddings, range(1, 11) t(i)),
+  FROM embeddings, range(1, len(embedding) + 1) t(i)),
 topic_long AS (SELECT vec_id, label, topic, a / sum(a) OVER (PARTITION BY vec_id) AS p FROM topic_raw)""",
     "vec_long": """vec_long AS (SELECT vec_id, label, i - 1 AS dim, CAST(embedding[i] AS DOUBLE) AS x
   FROM embeddings, range(1, len(embedding) + 1) t(i))""",

@@ -153,7 +153,7 @@ def param_grid(spark, sf):
     c = table(spark, sf, "customer").select(F.col("c_custkey").alias("o_custkey"), "c_nationkey")
     geo = table(spark, sf, "nation").join(table(spark, sf, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
     geo = geo.select(F.col("n_nationkey").alias("c_nationkey"), "r_name")  # 25 rows
-    base = o.join(c, "o_custkey").join(rel.sized_broadcast(geo), "c_nationkey").groupBy("r_name").agg(F.avg("o_totalprice").alias("_base"))
+    base = o.join(c, "o_custkey").join(geo, "c_nationkey").groupBy("r_name").agg(F.avg("o_totalprice").alias("_base"))
     g = base.select("r_name", "_base", F.explode(F.array(*[F.lit(x) for x in GRID_LR])).alias("lr"))
     g = g.select("r_name", "_base", "lr", F.explode(F.array(*[F.lit(x) for x in GRID_WEIGHT])).alias("weight"))
     return g.select("r_name", "lr", "weight", r6(F.col("_base") * F.col("lr") / F.col("weight")).alias("score"))
@@ -298,22 +298,24 @@ def _sql_term_counts() -> str:
         + _sql_vocab("j")
         + ", kt AS (SELECT j.username, j.party, j.coalition, tok.term, count(*) AS n FROM j JOIN tok ON j.id = tok.id JOIN vocab v ON tok.term = v.term GROUP BY 1, 2, 3, 4), "
         "g AS (SELECT 'username' AS dim, username AS key, term, sum(n) AS n FROM kt GROUP BY 1, 2, 3 UNION ALL "
-        "SELECT 'party', party, term, sum(n) FROM kt GROUP BY 1, 2, 3 UNION ALL SELECT 'coalition', coalition, term, sum(n) FROM kt GROUP BY 1, 2, 3) "
-        "SELECT dim, key, term, CAST(n AS BIGINT) AS n, rank FROM (SELECT *, CAST(row_number() OVER (PARTITION BY dim, key ORDER BY n DESC, term ASC) AS BIGINT) AS rank FROM g) WHERE rank <= 20"
+        "SELECT 'party', party, term, sum(n) FROM kt GROUP BY 1, 2, 3 UNION ALL SELECT 'coalition', coalition, term, sum(n) FROM kt GROUP BY 1, 2, 3), "
+        "k AS (SELECT 'username' AS dim, username AS key FROM j UNION SELECT 'party', party FROM j UNION SELECT 'coalition', coalition FROM j) "
+        "SELECT k.dim, k.key, v.term, CAST(COALESCE(g.n, 0) AS BIGINT) AS n FROM k CROSS JOIN vocab v "
+        "LEFT JOIN g ON g.dim = k.dim AND g.key = k.key AND g.term = v.term"
     )
 
 
 def flagship(spark, sf):
     """posts -> clean -> length >= 10 -> minimum activity -> accounts -> tokens -> vocabulary
-    (top 1000, df >= 2, stop words out) -> top 20 terms per user, party and coalition."""
-    p = fx.posts(spark, sf).select("id", "username", tx.clean_text("tweet").alias("t"))
+    (top 1000, df >= 2, stop words out) -> dense counts per user, party and coalition."""
+    p = tx.with_clean(fx.posts(spark, sf).select("id", "username", "tweet"), "tweet", "t").select("id", "username", "t")
     p = p.filter(tx.text_length("t") >= 10)
     p = rel.min_activity(p, "username", "id", 5)
     acc = fx.accounts(spark, sf).select(F.lower("username").alias("username"), "party", "coalition")
     p = p.withColumn("username", F.lower("username"))
     # the vocabulary is computed over the posts that have an account, like the oracle
-    p = p.join(rel.sized_broadcast(acc.select("username")), "username", "left_semi")
-    return corpus.term_counts_by_dim(p, "t", "id", "username", acc, ["party", "coalition"], top=20, stop_words=fx.STOP_WORDS)
+    p = p.join(acc.select("username"), "username", "left_semi")
+    return corpus.term_counts_by_dim(p, "t", "id", "username", acc, ["party", "coalition"], stop_words=fx.STOP_WORDS)
 
 
 query("term_counts_by_dim", _sql_term_counts())(flagship)
@@ -323,14 +325,19 @@ query("term_counts_by_dim", _sql_term_counts())(flagship)
     "topic_subset_terms",
     "WITH " + fx.SQL_CTES["topic_long"]
     + ", top AS (SELECT vec_id, arg_max(topic, p) AS topic FROM (SELECT vec_id, topic, p FROM topic_long) GROUP BY vec_id), "
-    "tok AS (SELECT t.topic, unnest(" + sql_tokens("d.text") + ") AS term FROM documents d JOIN top t ON d.doc_id = t.vec_id), "
-    "c AS (SELECT topic, term, count(*) AS n FROM tok WHERE term NOT IN " + _STOP_SQL + " GROUP BY 1, 2) "
-    "SELECT CAST(topic AS BIGINT) AS topic, term, n, rank FROM (SELECT *, CAST(row_number() OVER (PARTITION BY topic ORDER BY n DESC, term) AS BIGINT) AS rank FROM c) WHERE rank <= 10",
+    "nv AS (SELECT count(*) AS c FROM embeddings), "
+    "tok AS (SELECT t.topic, d.doc_id, unnest(" + sql_tokens("d.text") + ") AS term FROM documents d, nv JOIN top t ON d.doc_id % nv.c = t.vec_id), "
+    "c AS (SELECT topic, term, count(*) AS n, count(DISTINCT doc_id) AS df FROM tok GROUP BY 1, 2) "
+    "SELECT CAST(topic AS BIGINT) AS topic, term, n, rank FROM (SELECT *, CAST(row_number() OVER (PARTITION BY topic ORDER BY n DESC, term) AS BIGINT) AS rank FROM c WHERE df >= 2) "
+    "WHERE rank <= 1000 AND term NOT IN " + _STOP_SQL,
 )
 def topic_subset_terms(spark, sf):
-    """Most frequent terms of the texts whose top topic is k, for every k."""
-    t = fx.topic_distributions(spark, sf).select(F.col("vec_id").alias("doc_id"), vf.argmax("dist").alias("topic"))
-    d = table(spark, sf, "documents").select("doc_id", "text").join(t, "doc_id")
-    tok = corpus.explode_tokens(d, "text", ["topic"]).filter(~F.col("term").isin(*fx.STOP_WORDS))
-    c = tok.groupBy("topic", "term").agg(F.count(F.lit(1)).alias("n"))
-    return ranking.top_n_per_key(c, ["topic"], [F.desc("n"), F.asc("term")], 10, "rank")
+    """Vocabulary (df >= 2, 1000 most frequent, stop words out) of the texts whose top topic is
+    k, for every k.  Every document takes the vector of its id modulo the number of vectors."""
+    e = fx.topic_distributions(spark, sf)
+    t = e.select("vec_id", vf.argmax("dist").alias("topic"))
+    d = table(spark, sf, "documents").select("doc_id", "text").withColumn("_n", e.agg(F.count(F.lit(1))).scalar())
+    d = d.withColumn("vec_id", F.col("doc_id") % F.col("_n")).join(t, "vec_id")
+    c = corpus.key_term_counts(d, "text", "topic").where(F.col("df") >= 2)
+    top = ranking.top_n_per_key(c, ["topic"], [F.desc("n"), F.asc("term")], 1000, "rank")
+    return top.where(~F.col("term").isin(*fx.STOP_WORDS)).select("topic", "term", "n", "rank")

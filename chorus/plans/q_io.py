@@ -6,6 +6,7 @@ from __future__ import annotations
 
 import uuid
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import functions as F
 
 from chorus.functions import text as tx
@@ -14,7 +15,8 @@ from chorus.operators import relational as rel
 from chorus.operators.ranking import position_within
 from chorus.operators.reports import nested_report as nested
 from chorus.plans import fixtures as fx
-from chorus.plans.fixtures import sql_clean, with_ctes
+from chorus.plans.q_aggregate import flagship
+from chorus.plans.fixtures import sql_clean, sql_tokens, with_ctes
 from chorus.plans.registry import query
 from chorus.session import scratch_path
 from chorus.sources import files
@@ -47,11 +49,10 @@ def accounts_clean(spark, sf):
     """Account list CSV files built from the customers - each file starts with a
     sub-header line and has a link column, an extra column and rows with missing fields
     - cleaned by the account reader."""
-    n_files = 4
     nat = table(spark, sf, "nation").select(F.col("n_nationkey").alias("c_nationkey"), "n_name")  # 25 rows
-    cust = table(spark, sf, "customer").join(rel.sized_broadcast(nat), "c_nationkey")
+    cust = table(spark, sf, "customer").join(nat, "c_nationkey")
     rows = cust.select(
-        F.pmod(F.col("c_custkey"), F.lit(n_files)).alias("part"),
+        F.floor(F.col("c_custkey") / 500).cast("long").alias("part"),  # files grow with the data
         F.col("c_custkey").alias("_o"),
         F.col("c_name").alias("name"),
         F.when(F.col("c_custkey") % 7 == 6, F.lit(None).cast("string")).otherwise(F.col("c_mktsegment")).alias("party"),
@@ -60,12 +61,13 @@ def accounts_clean(spark, sf):
         F.concat(F.lit("https://twitter.com/C"), F.col("c_custkey").cast("string")).alias("link"),
         F.lit("x").alias("extra"),
     )
-    sub = spark.createDataFrame([(p, -1, "imie", "partia", "koalicja", "pozycja", "link do konta", "-") for p in range(n_files)], rows.schema)
+    heads = {"_o": -1, "name": "name line", "party": "party line", "coalition": "coalition line", "role": "role line", "link": "link line", "extra": "-"}
+    sub = rows.select("part").distinct().select("part", *[F.lit(v).alias(c) for c, v in heads.items()])
     out = scratch_path(spark, "accounts")
     # one file per part, each led by its sub-header line
     (
         sub.unionByName(rows)
-        .repartition(n_files, "part")
+        .repartition("part")
         .sortWithinPartitions("part", "_o")
         .drop("_o")
         .write.option("header", True)
@@ -117,8 +119,8 @@ def rows_to_named_texts(spark, sf):
     """One text per row named ``{user}_{i}.txt`` (i = 0-based position in the user's
     rows by id), written partitioned by user and read back."""
     p = fx.posts(spark, sf).filter(F.col("username").isNotNull()).select("id", "username", tx.clean_text("tweet").alias("text"))
-    pos = position_within(p, ["username"], ["id"], out="i")
-    named = pos.withColumn("file_name", F.concat(F.col("username"), F.lit("_"), F.col("i").cast("string"), F.lit(".txt")))
+    pos = position_within(p.select("username", "id"), ["username"], ["id"], out="i")  # texts stay out of the ranking
+    named = p.join(pos.select("id", "i"), "id").withColumn("file_name", F.concat(F.col("username"), F.lit("_"), F.col("i").cast("string"), F.lit(".txt")))
     out = scratch_path(spark, "named")
     files.write_named_texts(named, out, key="username", name_col="file_name", text_col="text")
     back = spark.read.parquet(out)
@@ -144,30 +146,41 @@ def incremental_by_key(spark, sf):
     return back.select(F.col("username").cast("string").alias("username"), "n_posts", "n_chars")
 
 
-@query("table_sink")
+@query("table_sink", with_ctes("posts") + "SELECT row_number() OVER (ORDER BY id) - 1 AS \"index\", id, username, language FROM posts")
 def table_sink(spark, sf):
     """Relational sink that refuses to overwrite, with an index column; read back."""
     name = f"chorus_sink_{uuid.uuid4().hex[:16]}"
     path = scratch_path(spark, "table")
     df = fx.posts(spark, sf).select("id", "username", "language")
-    files.write_table(df, name, path=path)
+    files.write_table(df, name, path=path, order_by=["id"])
     try:
-        files.write_table(df, name, path=path)
-        raise AssertionError("table sink overwrote an existing table")
-    except Exception as e:  # noqa: BLE001
-        if isinstance(e, AssertionError):
+        files.write_table(df, name, path=path, order_by=["id"])
+    except AnalysisException as e:
+        if e.getCondition() != "TABLE_OR_VIEW_ALREADY_EXISTS":
             raise
-    return spark.table(name)
+    else:
+        raise AssertionError("table sink overwrote an existing table")
+    spark.sql(f"DROP TABLE {name}")  # an external table: its files stay
+    return spark.read.parquet(path)
 
 
-@query("stopword_source")
+_SQL_STOP = (
+    "WITH tok AS (SELECT DISTINCT doc_id, unnest(" + sql_tokens("text") + ") AS term FROM documents), "
+    "s AS (SELECT term FROM tok GROUP BY term HAVING count(*) * 4 >= (SELECT count(*) FROM documents)) "
+    "SELECT CAST(row_number() OVER (ORDER BY term) - 1 AS INTEGER) AS pos, term AS word FROM s"
+)
+
+
+@query("stopword_source", _SQL_STOP)
 def stopword_source(spark, sf):
-    """A JSON-with-comments stop-word list built from the corpus (the 50 terms with the
-    highest document frequency), written with ``//`` comments and parsed back."""
+    """A JSON-with-comments stop-word list built from the corpus (the terms of at least a
+    quarter of the documents), written with ``//`` comments and parsed back."""
     d = table(spark, sf, "documents")
     toks = corpus.explode_tokens(d, "text", ["doc_id"])
-    top = toks.groupBy("term").agg(F.count_distinct("doc_id").alias("df")).orderBy(F.desc("df"), F.asc("term")).limit(50)
-    body = top.agg(F.to_json(F.array_sort(F.collect_list("term"))).alias("j"))  # 50 entries
+    n = d.agg(F.count(F.lit(1))).scalar()
+    df = toks.distinct().groupBy("term").agg(F.count(F.lit(1)).alias("df")).withColumn("_n", n)
+    # one small configuration file: few terms are in so many documents
+    body = df.where(F.col("df") * 4 >= F.col("_n")).agg(F.to_json(F.array_sort(F.collect_list("term"))).alias("j"))
     doc = body.select(
         F.concat(F.lit("// stop words derived from the corpus\n"), F.regexp_replace("j", ",", ",  // entry\n"), F.lit("\n// end\n")).alias("value")
     )
@@ -176,12 +189,51 @@ def stopword_source(spark, sf):
     return files.read_jsonc_list(spark, out)
 
 
-@query("nested_report")
+def _sql_nested() -> str:
+    from chorus.plans.registry import ORACLES
+
+    return (
+        "SELECT dim, key, CAST(row_number() OVER (PARTITION BY dim, key ORDER BY n DESC, term) - 1 AS INTEGER) AS pos, term, n FROM ("
+        + ORACLES["term_counts_by_dim"] + ")"
+    )
+
+
+@query("nested_report", _sql_nested())
 def nested_report(spark, sf):
     """The per-dimension term report as nested lists, exported as JSON and read back."""
-    from chorus.plans.q_aggregate import flagship
-
     rep = nested(flagship(spark, sf), "dim", "key", "term", "n")
     out = scratch_path(spark, "report")
     files.write_nested_report(rep, out)
-    return spark.read.schema(rep.schema).json(out)
+    back = spark.read.schema(rep.schema).json(out)
+    flat = back.select("dim", "key", F.posexplode("items").alias("pos", "item"))
+    return flat.select("dim", "key", "pos", F.col("item.text").alias("term"), F.col("item.value").alias("n"))
+
+
+@query("csv_indexed", with_ctes("posts") + "SELECT id, username, language FROM posts")
+def csv_indexed(spark, sf):
+    """Posts written as CSV with a leading row index, read back without it."""
+    p = fx.posts(spark, sf).select(F.col("id").alias("index"), "id", "username", "language")
+    out = scratch_path(spark, "indexed")
+    files.write_csv(p, out)
+    return files.read_csv_indexed(spark, out, "index long, id long, username string, language string")
+
+
+@query("json_map", "SELECT CAST(row_number() OVER (ORDER BY n_nationkey) - 1 AS INTEGER) AS pos, n_name AS k, 'R' || CAST(n_regionkey AS VARCHAR) AS v FROM nation")
+def json_map(spark, sf):
+    """A JSON object (nation -> region) in nation order, read back as ordered entries."""
+    n = table(spark, sf, "nation")
+    pair = F.concat(F.to_json(F.struct(F.col("n_name").alias("k"))), F.lit(""))
+    entry = F.concat(F.regexp_extract(pair, r'\{"k":(.*)\}', 1), F.lit(": \"R"), F.col("n_regionkey").cast("string"), F.lit("\""))
+    body = n.agg(F.array_sort(F.collect_list(F.struct("n_nationkey", entry.alias("e")))).alias("es"))  # one small file
+    doc = body.select(F.concat(F.lit("{"), F.array_join(F.transform("es", lambda x: x["e"]), ",\n"), F.lit("}")).alias("value"))
+    out = scratch_path(spark, "map")
+    doc.coalesce(1).write.text(out)
+    return files.read_json_map(spark, out)
+
+
+@query("file_stem", "SELECT doc_id AS id, 'doc' || CAST(doc_id AS VARCHAR) || '.v1' AS stem FROM documents")
+def file_stem(spark, sf):
+    """Stems of file paths: the name without directories and the last extension."""
+    d = table(spark, sf, "documents").select(F.col("doc_id").alias("id"), "source")
+    path = F.concat(F.lit("/data/"), "source", F.lit("/doc"), F.col("id").cast("string"), F.lit(".v1.txt"))
+    return d.select("id", tx.file_stem(path).alias("stem"))

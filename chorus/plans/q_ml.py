@@ -4,8 +4,6 @@ exact oracle: model fits are not value-equal across implementations."""
 
 from __future__ import annotations
 
-from concurrent.futures import ThreadPoolExecutor
-
 from pyspark.ml import PipelineModel
 from pyspark.sql import functions as F
 
@@ -14,6 +12,7 @@ from chorus.operators import classify, cluster, encode, evaluate, sampling, topi
 from chorus.operators import relational as rel
 from chorus.operators import vectors as vo
 from chorus.plans import fixtures as fx
+from chorus.plans.fixtures import with_ctes
 from chorus.plans.registry import query, r6
 from chorus.session import scratch_path
 from chorus.sources.tables import table
@@ -37,25 +36,51 @@ def labelled_texts(spark, sf):
 
 
 # --- sampling -----------------------------------------------------------------------
-@query("sample_per_key")
+_SQL_SAMPLE = with_ctes("posts") + (
+    "SELECT username, CAST(i AS BIGINT) AS draw, arg_min(id, md5(CAST(id AS VARCHAR) || ':' || CAST(i AS VARCHAR) || ':42')) AS id "
+    "FROM posts, range(0, 2) r(i) WHERE username IS NOT NULL GROUP BY username, i"
+)
+
+
+@query("sample_per_key", _SQL_SAMPLE)
 def sample_per_key(spark, sf):
     """Two posts per user, drawn with replacement, seeded."""
     return sampling.sample_per_key(fx.posts(spark, sf), "username", "id", n=2, seed=42)
 
 
-@query("stratified_split")
+_SQL_LABELLED = """labelled AS (SELECT l.doc_id, CASE WHEN quality = 1 AND toxic = 0 THEN 'positive' WHEN quality = 0 AND toxic = 1 THEN 'negative'
+  WHEN quality = 0 AND toxic = 0 THEN 'neutral' ELSE 'ambiguous' END AS label, 1 + 9 * toxic AS weight
+  FROM labels l JOIN documents d ON l.doc_id = d.doc_id)"""
+_SQL_SPLIT = "WITH " + _SQL_LABELLED + """,
+r AS (SELECT doc_id, label, row_number() OVER (PARTITION BY label ORDER BY md5(CAST(doc_id AS VARCHAR) || ':42'), doc_id) - 1 AS pos,
+  count(*) OVER (PARTITION BY label) AS n FROM labelled)
+SELECT doc_id, label, CASE WHEN pos < round(n * 0.8::DOUBLE) THEN 'train' WHEN pos < round(n * (0.8::DOUBLE + 0.1::DOUBLE)) THEN 'val' ELSE 'test' END AS split FROM r"""
+
+
+@query("stratified_split", _SQL_SPLIT)
 def stratified_split(spark, sf):
     """0.8 / 0.1 / 0.1 split of the labelled texts, exact per label."""
     return sampling.stratified_split(labelled_texts(spark, sf).select("doc_id", "label"), "label", "doc_id")
 
 
-@query("stratified_folds")
+@query(
+    "stratified_folds",
+    "SELECT vec_id, label, CAST((row_number() OVER (PARTITION BY label ORDER BY md5(CAST(vec_id AS VARCHAR) || ':42'), vec_id) - 1) % 10 AS INTEGER) AS fold FROM embeddings",
+)
 def stratified_folds(spark, sf):
     """Ten stratified folds of the vectors by label."""
     return sampling.stratified_folds(fx.vectors(spark, sf).select("vec_id", "label"), "label", "vec_id", k=10)
 
 
-@query("weighted_bootstrap")
+_SQL_BOOTSTRAP = "WITH " + _SQL_LABELLED + """,
+c AS (SELECT doc_id, sum(weight * 1000000) OVER (ORDER BY doc_id) AS hi, weight * 1000000 AS w FROM labelled),
+t AS (SELECT max(hi) AS total, count(*) AS n FROM c),
+d AS (SELECT i AS draw, CAST(floor(('0x' || substr(md5(CAST(i AS VARCHAR) || ':42'), 1, 12))::BIGINT::DOUBLE / 281474976710656.0::DOUBLE * total::DOUBLE) AS BIGINT) AS x
+  FROM t, range(0, (SELECT n FROM t)) r(i))
+SELECT d.draw, c.doc_id FROM d ASOF JOIN (SELECT doc_id, hi - w AS lo FROM c) c ON d.x >= c.lo"""
+
+
+@query("weighted_bootstrap", _SQL_BOOTSTRAP)
 def weighted_bootstrap(spark, sf):
     """As many draws as rows, probability proportional to weight (toxic rows x10)."""
     lt = labelled_texts(spark, sf)
@@ -64,9 +89,9 @@ def weighted_bootstrap(spark, sf):
 
 # --- topic model --------------------------------------------------------------------
 def _lda(spark, sf) -> tuple[PipelineModel, object]:
-    p = fx.posts(spark, sf).select("id", tx.clean_text("tweet").alias("t"))
-    p = topics.tokens(p, "t").filter(F.size("tokens") > 0)
-    return topics.fit_lda(p, "tokens", k=10, max_iter=50, seed=42), p
+    p = tx.with_clean(fx.posts(spark, sf).select("id", "tweet"), "tweet", "t").select("id", "t")
+    p = topics.tokens(p, "t").filter(F.size("tokens") > 0).select("id", "tokens")
+    return topics.fit_lda(p, "tokens", k=10, max_iter=100, seed=42), p
 
 
 @query("lda_topics")
@@ -102,7 +127,7 @@ def _text_model(spark, sf):
 def train_text_classifier(spark, sf):
     """n-gram (1..2) hashing + multinomial logistic regression, weighted; macro F1 per split."""
     model, lt = _text_model(spark, sf)
-    pred = classify.predict_labels(model, lt, ["doc_id", "label", "split"]).persist()
+    pred = classify.predict_labels(model, lt, ["doc_id", "label", "split"])
     rows = []
     for split in ("train", "val", "test"):
         part = pred.filter(F.col("split") == split)
@@ -142,7 +167,7 @@ def train_vector_classifier(spark, sf):
     v = _vec_split(spark, sf).persist()
     rows = []
     for kind in ("linear", "mlp"):
-        m = classify.fit_vector_classifier(v.filter(F.col("split") == "train"), "vec", "label", kind=kind, weight="weight", hidden=32, max_iter=100, id_col="vec_id")
+        m = classify.fit_vector_classifier(v.filter(F.col("split") == "train"), "vec", "label", kind=kind, weight="weight", hidden=256, max_iter=100, id_col="vec_id")
         rows += _f1_rows(classify.score_vectors(m, v, "vec", ["vec_id", "label", "split"]), kind)
     return spark.createDataFrame(rows, "model string, split string, macro_f1 double")
 
@@ -168,28 +193,17 @@ def train_account_classifier(spark, sf):
     return spark.createDataFrame(rows, "model string, params string, train_f1 double, val_f1 double")
 
 
+CV_GRID = [
+    ("logistic", {"C": 0.5, "tol": 1e-4}), ("logistic", {"C": 1.0, "tol": 1e-4}), ("tree", {"criterion": "entropy", "min_leaf": 2}),
+    ("svm", {"C": 1.0, "max_iter": 10}), ("knn", {"k": 5, "metric": "manhattan", "weights": "distance"}),
+]
+
+
 @query("cv_grid")
 def cv_grid(spark, sf):
-    """10 stratified folds x logistic-regression C grid: mean train / validation macro F1."""
+    """10 stratified folds x four classifier families, vectors standardised inside the fold."""
     v = fx.vectors(spark, sf).withColumn("label", F.concat(F.lit("c"), F.col("label").cast("string")))
-    folds = sampling.stratified_folds(v.select("vec_id", "label"), "label", "vec_id", k=10).select("vec_id", "fold")
-    v = v.join(folds, "vec_id").persist()
-    grid = [(c, k) for c in (0.5, 1.0) for k in range(10)]
-
-    def fit(ck):
-        c, k = ck
-        tr, va = v.filter(F.col("fold") != k), v.filter(F.col("fold") == k)
-        return ck, classify.fold_scores(tr, va, "vec", "label", "logistic", {"C": c, "tol": 1e-4})
-
-    # a bounded driver loop of distributed fits; independent fits run as concurrent jobs
-    with ThreadPoolExecutor(max_workers=4) as pool:
-        res = dict(pool.map(fit, grid))
-    rows = []
-    for c in (0.5, 1.0):
-        tr_f = [res[(c, k)][0] for k in range(10)]
-        va_f = [res[(c, k)][1] for k in range(10)]
-        rows.append((c, sum(tr_f) / 10, sum(va_f) / 10))
-    return spark.createDataFrame(rows, "C double, mean_train_f1 double, mean_val_f1 double")
+    return classify.cv_grid(v, "vec_id", "vec", ["label"], CV_GRID, scalings=("standard",))
 
 
 # --- clustering and projection --------------------------------------------------------
@@ -232,7 +246,7 @@ def cluster_table(spark, sf):
 
 @query("project_low_dim")
 def project_low_dim(spark, sf):
-    """2-d and 3-d positions on raw, standardised and L2-normalised vectors."""
+    """2-d, 3-d and 10-d positions on raw, standardised and L2-normalised vectors."""
     from chorus.functions import vectors as vf
 
     v = fx.vectors(spark, sf)

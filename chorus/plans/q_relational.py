@@ -48,7 +48,7 @@ def filter_language(spark, sf):
     f"WHERE length({sql_clean('tweet')}) BETWEEN 10 AND 2000",
 )
 def filter_range(spark, sf):
-    p = fx.posts(spark, sf).select("id", tx.text_length(tx.clean_text("tweet")).alias("len"))
+    p = tx.with_clean(fx.posts(spark, sf).select("id", "tweet"), "tweet", "t").select("id", tx.text_length("t").alias("len"))
     return rel.filter_range(p, "len", 10, 2000)
 
 
@@ -57,7 +57,7 @@ def filter_range(spark, sf):
     f"SELECT DISTINCT t AS text FROM (SELECT {sql_clean('text')} AS t FROM documents) WHERE length(t) < 40",
 )
 def short_texts(spark, sf):
-    d = table(spark, sf, "documents").select(tx.clean_text("text").alias("text"))
+    d = tx.with_clean(table(spark, sf, "documents").select("text"), "text", "text")
     return rel.short_texts(d, "text", 40)
 
 
@@ -72,7 +72,7 @@ _SQL_MIN_ACT = (
 @query("min_activity", _SQL_MIN_ACT)
 def min_activity(spark, sf):
     p = fx.posts(spark, sf)
-    p = p.filter(tx.text_length(tx.clean_text("tweet")) >= 10).select("id", "username")
+    p = tx.with_clean(p.select("id", "username", "tweet"), "tweet", "t").filter(tx.text_length("t") >= 10).select("id", "username")
     return rel.min_activity(p, "username", "id", 48)
 
 
@@ -147,11 +147,13 @@ def join_anti(spark, sf):
 @query(
     "weighted_union",
     "SELECT conv_id, turn, role, CAST(1.0 AS DOUBLE) AS weight FROM conversations WHERE role = 'user' "
-    "UNION ALL SELECT conv_id, turn, role, CAST(10.0 AS DOUBLE) AS weight FROM conversations WHERE role = 'assistant'",
+    "UNION ALL SELECT conv_id, turn, role, CAST(10.0 AS DOUBLE) AS weight FROM conversations WHERE role = 'assistant' "
+    "UNION ALL SELECT conv_id, turn, role, CAST(5.0 AS DOUBLE) AS weight FROM conversations WHERE role IS NULL OR role NOT IN ('user', 'assistant')",
 )
 def weighted_union(spark, sf):
     c = table(spark, sf, "conversations").select("conv_id", "turn", "role")
-    return rel.weighted_union([(c.filter(F.col("role") == "user"), 1.0), (c.filter(F.col("role") == "assistant"), 10.0)])
+    rest = F.col("role").isNull() | ~F.col("role").isin("user", "assistant")
+    return rel.weighted_union([(c.filter(F.col("role") == "user"), 1.0), (c.filter(F.col("role") == "assistant"), 10.0), (c.filter(rest), 5.0)])
 
 
 @query("dedup_text", "SELECT text, min(doc_id) AS doc_id FROM documents GROUP BY text")

@@ -3,13 +3,12 @@ word-vector features."""
 
 from __future__ import annotations
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from chorus.functions import vectors as vf
 from chorus.operators import corpus
 from chorus.operators import vectors as vo
-from chorus.operators.relational import sized_broadcast
+from chorus.operators.ranking import position_within
 from chorus.plans import fixtures as fx
 from chorus.plans.fixtures import with_ctes
 from chorus.plans.registry import query, r6
@@ -114,7 +113,7 @@ def vector_distance(spark, sf):
     """Distance of every vector to the mean vector of its label, in four metrics."""
     v = fx.vectors(spark, sf)
     m = vo.mean_vector_by_key(v, "label", "vec", out="mean")
-    j = v.join(sized_broadcast(m, 100_000), "label")
+    j = v.join(m, "label")
     return j.select(
         "vec_id",
         *[r6(vf.distance("vec", "mean", metric)).alias(metric) for metric in ("euclidean", "manhattan", "chebyshev", "minkowski")],
@@ -154,7 +153,7 @@ _SQL_WORDVEC = (
     + fx.sql_tokens("text")
     + ") AS term FROM documents), "
     "ts AS (SELECT term, count(*) AS n, count(DISTINCT doc_id) AS df FROM tok GROUP BY term), "
-    f"vocab AS (SELECT term, n FROM (SELECT * FROM ts WHERE df >= 2 ORDER BY n DESC, term ASC LIMIT 1000) WHERE term NOT IN {_STOP_SQL}), "
+    f"vocab AS (SELECT term, n FROM (SELECT * FROM ts WHERE df >= 2) WHERE term NOT IN {_STOP_SQL}), "
     "ranked AS (SELECT term, row_number() OVER (ORDER BY n DESC, term) - 1 AS r FROM vocab), "
     "nv AS (SELECT count(*) AS c FROM embeddings), "
     "wv AS (SELECT ranked.term, e.embedding FROM ranked, nv JOIN embeddings e ON e.vec_id = ranked.r % nv.c), "
@@ -169,12 +168,9 @@ def mean_word_vectors(spark, sf):
     """Document features = mean of the vectors of its known words.  The word-vector
     table pairs the i-th vocabulary term (by frequency) with vector i mod n."""
     d = table(spark, sf, "documents")
-    vocab = corpus.term_frequencies(d, "text", "doc_id", stop_words=fx.STOP_WORDS)  # <= 1000 rows
-    nvec = table(spark, sf, "embeddings").count()
-    w = F.row_number().over(Window.orderBy(F.desc("n"), F.asc("term"))) - 1
-    ranked = vocab.select("term", (w % F.lit(nvec)).alias("vec_id"))  # bounded: the capped vocabulary
-    wv = ranked.join(fx.vectors(spark, sf).select("vec_id", "vec"), "vec_id").select("term", "vec")
-    toks = corpus.explode_tokens(d, "text", ["doc_id"])
-    hits = toks.join(F.broadcast(wv), "term")  # wv has at most max_features rows
-    m = vo.mean_vector_by_key(hits, "doc_id", "vec")
-    return _long(m, ["doc_id"])
+    vocab = corpus.term_frequencies(d, "text", "doc_id", stop_words=fx.STOP_WORDS, max_features=None)
+    ranked = position_within(vocab, [], [F.desc("n"), F.asc("term")], out="r")
+    e = fx.vectors(spark, sf).select("vec_id", "vec")
+    ranked = ranked.withColumn("_n", e.agg(F.count(F.lit(1))).scalar()).select("term", (F.col("r") % F.col("_n")).alias("vec_id"))
+    wv = ranked.join(e, "vec_id").select("term", "vec")
+    return _long(vo.mean_word_vectors(d, "doc_id", "text", wv), ["doc_id"])

@@ -169,7 +169,7 @@ def test_text_classifier_scores_in_range(spark):
 def test_entry_smoke(spark):
     df = E.entry(spark)
     assert df.count() > 0
-    assert df.columns == ["dim", "key", "term", "n", "rank"]
+    assert df.columns == ["dim", "key", "term", "n"]
 
 
 def test_every_survey_key_registered():
