@@ -228,6 +228,25 @@ def dbscan(spark, sf):
     return cluster.dbscan(_proj(spark, sf, 3), "vec_id", "vec", eps=0.05, min_samples=5)
 
 
+_SQL_DBSCAN = """WITH RECURSIVE p AS (SELECT vec_id, round(sum(CASE WHEN i % 2 = 1 THEN CAST(embedding[i] AS DOUBLE) ELSE 0.0 END), 6) AS x,
+  round(sum(CASE WHEN i % 2 = 0 THEN CAST(embedding[i] AS DOUBLE) ELSE 0.0 END), 6) AS y FROM embeddings, range(1, len(embedding) + 1) t(i) GROUP BY vec_id),
+e AS (SELECT a.vec_id AS src, b.vec_id AS dst FROM p a, p b WHERE sqrt((a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y)) <= 0.1),
+core AS (SELECT src AS id FROM e GROUP BY src HAVING count(*) >= 5),
+ce AS (SELECT src, dst FROM e WHERE src IN (SELECT id FROM core) AND dst IN (SELECT id FROM core)),
+reach AS (SELECT id AS a, id AS b FROM core UNION SELECT r.a, ce.dst FROM reach r JOIN ce ON r.b = ce.src),
+comp AS (SELECT a AS id, dense_rank() OVER (ORDER BY min(b)) - 1 AS cid FROM reach GROUP BY a),
+lab AS (SELECT id, cid FROM comp UNION ALL SELECT e.src, min(comp.cid) FROM e JOIN comp ON e.dst = comp.id WHERE e.src NOT IN (SELECT id FROM core) GROUP BY e.src)
+SELECT p.vec_id, COALESCE(lab.cid, -1) AS dbscan_cluster FROM p LEFT JOIN lab ON p.vec_id = lab.id"""
+
+
+@query("dbscan_plane", _SQL_DBSCAN)
+def dbscan_plane(spark, sf):
+    """DBSCAN (eps 0.1, 5 samples incl. self) on the plane of the sums of odd and even entries."""
+    part = lambda r: F.round(F.aggregate(F.transform("vec", lambda x, i: F.when(i % 2 == r, x).otherwise(0.0)), F.lit(0.0), lambda a, x: a + x), 6)
+    v = fx.vectors(spark, sf).select("vec_id", F.array(part(0), part(1)).alias("vec"))
+    return cluster.dbscan(v, "vec_id", "vec", eps=0.1, min_samples=5)
+
+
 @query("mean_shift")
 def mean_shift(spark, sf):
     """Flat-kernel mean shift (bandwidth 0.1) on a 3-d projection."""

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from chorus.functions import text as tx
 from chorus.operators import relational as rel
+from chorus.operators.ranking import position_within
 from chorus.plans import fixtures as fx
 from chorus.plans.fixtures import sql_clean, with_ctes
 from chorus.plans.registry import query
@@ -143,6 +144,21 @@ def join_anti(spark, sf):
     return rel.join_lower_key(p, fx.accounts(spark, sf).select("username"), "username", "username", how="left_anti")
 
 
+# --- positions and previews -----------------------------------------------------
+@query("row_position", "SELECT row_number() OVER (ORDER BY n_chars, doc_id) - 1 AS pos, doc_id FROM documents")
+def row_position(spark, sf):
+    """Dense 0-based position of every document by length."""
+    d = table(spark, sf, "documents").select("doc_id", "n_chars")
+    return position_within(d, [], ["n_chars", "doc_id"], out="pos").select("pos", "doc_id")
+
+
+@query("preview", "SELECT doc_id, lang, n_chars FROM documents ORDER BY n_chars DESC, doc_id LIMIT 5")
+def preview(spark, sf):
+    """The five longest documents."""
+    d = table(spark, sf, "documents").select("doc_id", "lang", "n_chars")
+    return d.orderBy(F.desc("n_chars"), "doc_id").limit(5)
+
+
 # --- set operations -------------------------------------------------------------
 @query(
     "weighted_union",
