@@ -42,10 +42,14 @@ _SHIPPED: set[str] = set()
 
 
 def prepare(spark: SparkSession) -> SparkSession:
-    """Ready a session someone else built: shared checkpoint folder and the package
-    on the workers."""
+    """Ready a session someone else built: shared checkpoint folder, the package on the
+    workers, and a batch size for whole texts unless one is configured."""
     checkpoint_dir(spark)
     ship_package(spark)
+    # rows are whole texts here: smaller Arrow batches bound what a Python worker holds
+    batch = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not spark.sparkContext.getConf().contains(batch):
+        spark.conf.set(batch, "2000")
     return spark
 
 
