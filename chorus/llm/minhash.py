@@ -47,7 +47,7 @@ class _WordHashes(dict):
     """Word -> 64-bit hash, remembered up to a fixed number of words."""
 
     def __missing__(self, word):
-        if len(self) >= 400_000:
+        if len(self) >= 200_000:
             self.clear()
         self[word] = h = xxhash.xxh3_64_intdigest(word)
         return h

@@ -40,7 +40,7 @@ _PRE = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{_LETTER}]+|[0-9]|[^\\s{_LETTER}0-9
 class WordTokenizer:
     """``tokenizers`` ids of whole texts, with the ids of words remembered (bounded)."""
 
-    limit = 400_000
+    limit = 200_000
 
     def __init__(self, path: str):
         import os

@@ -141,7 +141,7 @@ def _count_words(batches):
             words = _TERM.findall(" ".join([*parts, t[end:]]).lower())
             n.update(words)
             n[""] += len(words)
-            if size > 30_000_000:
+            if size > 8_000_000:
                 yield pa.RecordBatch.from_arrays([pa.array(list(n)), pa.array(list(n.values()), pa.int64())], names=["term", "n"])
                 n, size = Counter(), 0
     yield pa.RecordBatch.from_arrays([pa.array(list(n), pa.string()), pa.array(list(n.values()), pa.int64())], names=["term", "n"])
