@@ -36,15 +36,16 @@ SEED = 20240229
 ZIPF = 10.0
 SPACE = "▁"
 GROUP_CHARS = 400_000
-MAX_NODES = 8_000_000
+MAX_NODES = 6_000_000
 _CHUNK = re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+")
 _P = np.uint64(0x9E3779B97F4A7C15)
+_SHIFT = np.uint64(42)
 _GOLD = np.uint64(0xBF58476D1CE4E5B9)
 _GOLD2 = np.uint64(0x94D049BB133111EB)
 
 
-def uniform(*parts) -> np.ndarray:
-    """Numbers in (0, 1) that depend on the given integers only (splitmix64)."""
+def mixed(*parts) -> np.ndarray:
+    """64-bit hashes of the given integers (splitmix64)."""
     x = np.uint64(0)
     with np.errstate(over="ignore"):
         for p in parts:
@@ -52,7 +53,12 @@ def uniform(*parts) -> np.ndarray:
             x = (x ^ (x >> np.uint64(30))) * _GOLD
             x = (x ^ (x >> np.uint64(27))) * _GOLD2
             x = x ^ (x >> np.uint64(31))
-    return ((x >> np.uint64(11)).astype(float) + 0.5) * 2.0**-53
+    return x
+
+
+def uniform(*parts) -> np.ndarray:
+    """Numbers in (0, 1) that depend on the given integers only."""
+    return ((mixed(*parts) >> np.uint64(11)).astype(float) + 0.5) * 2.0**-53
 
 
 def below(mean, top, u):
@@ -83,9 +89,14 @@ class Pieces:
         self.byte_score = -np.log(n + ZIPF)
         self.score = score
         self.text = [""] * n
+        self.raw = [b""] * n  # what a piece stands for in the text
         for p, i in plain:
             self.text[i] = p
+            self.raw[i] = p.replace(SPACE, " ").encode()
+        for k, i in byte.items():
+            self.raw[i] = bytes([k])
         self.by_length: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+        self.seen = np.zeros(1 << 22, bool)  # leading bits of the pieces' hashes
         for length in sorted({len(p) for p, _ in plain}):
             group = [(p, i) for p, i in plain if len(p) == length]
             codes = np.frombuffer("".join(p for p, _ in group).encode("utf-32-le"), "<u4").reshape(-1, length).astype(np.uint64)
@@ -93,6 +104,7 @@ class Pieces:
             for j in range(1, length):
                 h = h * _P + codes[:, j]
             o = np.argsort(h)
+            self.seen[(h >> _SHIFT).astype(np.int64)] = True
             self.by_length[length] = h[o], np.array([i for _, i in group], np.int32)[o]
 
     def ids(self, edges: np.ndarray) -> np.ndarray:
@@ -108,19 +120,8 @@ class Pieces:
         return np.concatenate([*out, edges[last:]])
 
     def decode(self, ids: list[int]) -> str:
-        """Text of piece ids: byte pieces joined, spaces put back, the first one dropped."""
-        if self.byte is not None and any(i in self._byte_ids() for i in ids):
-            back = {int(i): k for k, i in enumerate(self.byte)}
-            raw = b"".join(bytes([back[i]]) if i in back else self.text[i].encode() for i in ids)
-            text = raw.decode("utf-8", "surrogatepass")
-        else:
-            text = "".join(map(self.text.__getitem__, ids))
-        return text.replace(SPACE, " ")[1:]
-
-    def _byte_ids(self) -> frozenset:
-        if not hasattr(self, "_bytes"):
-            self._bytes = frozenset(self.byte.tolist())
-        return self._bytes
+        """Text of piece ids; the space put before the text is dropped."""
+        return b"".join(map(self.raw.__getitem__, ids)).decode("utf-8", "surrogatepass")[1:]
 
 
 class Lattices:
@@ -131,11 +132,11 @@ class Lattices:
         self.pieces = pieces
         self.start: dict[str, int] = {}
         self.nodes = self.edges = 0
-        self.first = np.zeros(1 << 16, np.int64)  # first edge of a node
+        self.first = np.zeros(1 << 16, np.int32)  # first edge of a node
         self.left = np.zeros(1 << 16, np.int32)  # characters to the chunk's end
-        self.cum = np.zeros(1 << 17)  # cumulated conditional probability inside the node
+        self.cum = np.zeros(1 << 17, np.float32)  # cumulated conditional probability inside the node
         self.logp = np.zeros(1 << 17)
-        self.to = np.zeros(1 << 17, np.int64)
+        self.to = np.zeros(1 << 17, np.int32)
         self.label = np.zeros(1 << 17, np.int32)
 
     def _room(self, names: tuple[str, ...], need: int) -> None:
@@ -148,66 +149,59 @@ class Lattices:
         size = np.array([len(c) for c in chunks])
         cp = np.frombuffer("".join(chunks).encode("utf-32-le", "surrogatepass"), "<u4").astype(np.uint64)
         # characters left in the chunk, from each character on
-        end = np.repeat(np.cumsum(size), size)
-        left = end - np.arange(len(cp))
-        src, length, label, score = [], [], [], []
-        h = np.zeros(len(cp), np.uint64)
-        one = np.zeros(len(cp), bool)
-        for n in range(1, max(self.pieces.by_length, default=0) + 1):
-            at = np.flatnonzero(left >= n)
-            if not len(at):
-                break
-            h = h.copy()
-            h[at] = h[at] * _P + cp[at + n - 1]
+        left = np.repeat(np.cumsum(size), size) - np.arange(len(cp))
+        wide = min(max(self.pieces.by_length, default=1), int(left.max()))
+        # score and label of the piece of n characters at each place, the longest first
+        score = np.full((len(cp), wide), -np.inf)
+        label = np.zeros((len(cp), wide), np.int32)
+        start, h = np.arange(len(cp)), np.zeros(len(cp), np.uint64)
+        for n in range(1, wide + 1):
+            fits = left[start] >= n
+            start, h = start[fits], h[fits]
+            h = h * _P + cp[start + n - 1]
             if n not in self.pieces.by_length:
                 continue
             known, ids = self.pieces.by_length[n]
-            k = np.searchsorted(known, h[at])
+            likely = np.flatnonzero(self.pieces.seen[(h >> _SHIFT).astype(np.int64)])
+            at, want = start[likely], h[likely]
+            k = np.searchsorted(known, want)
             k[k == len(known)] = 0
-            hit = known[k] == h[at]
-            at, k = at[hit], k[hit]
-            if n == 1:
-                one[at] = True
-            src.append(at), length.append(np.full(len(at), n)), label.append(ids[k]), score.append(self.pieces.score[ids[k]])
-        rest = np.flatnonzero(~one)
+            hit = known[k] == want
+            at, found = at[hit], ids[k[hit]]
+            score[at, wide - n], label[at, wide - n] = self.pieces.score[found], found
+        rest = np.flatnonzero(score[:, -1] == -np.inf)
         if len(rest):
-            wide = 1 + (cp[rest] > 0x7F).astype(int) + (cp[rest] > 0x7FF) + (cp[rest] > 0xFFFF)
-            src.append(rest), length.append(np.ones(len(rest), int))
-            label.append((cp[rest].astype(np.int64) + self.pieces.size).astype(np.int32)), score.append(wide * self.pieces.byte_score)
-        src, length, label, score = map(np.concatenate, (src, length, label, score))
-        # log of the summed weight of all ways from each node to the end, nearest nodes first
-        total = np.zeros(len(cp) + 1)
-        o = np.argsort(left[src], kind="stable")
-        cuts = np.flatnonzero(np.diff(left[src][o])) + 1
-        for part in np.split(o, cuts):
-            s = src[part]
-            by = np.argsort(s, kind="stable")
-            part, s = part[by], s[by]
-            reach = s + length[part]
-            v = score[part] + np.where(length[part] == left[s], 0.0, total[np.minimum(reach, len(cp))])
-            heads = np.flatnonzero(np.r_[True, s[1:] != s[:-1]])
-            top = np.maximum.reduceat(v, heads)
-            run = np.repeat(np.arange(len(heads)), np.diff(np.r_[heads, len(s)]))
-            total[s[heads]] = top + np.log(np.add.reduceat(np.exp(v - top[run]), heads))
-        logp = score + np.where(length == left[src], 0.0, total[np.minimum(src + length, len(cp))]) - total[src]
-        o = np.lexsort((-logp, src))
-        src, length, label, logp = src[o], length[o], label[o], logp[o]
+            code = cp[rest].astype(np.int64)
+            score[rest, -1] = self.pieces.byte_score * (1 + (code > 0x7F) + (code > 0x7FF) + (code > 0xFFFF))
+            label[rest, -1] = np.where(code < 128, self.pieces.byte[np.minimum(code, 127)], code + self.pieces.size)
+        # every chunk has one node more than characters: its end.  total: log of the summed
+        # weight of all ways from a node to the end, from the ends backwards
+        node = np.arange(len(cp)) + np.repeat(np.arange(len(chunks)), size)
+        total = np.zeros(len(cp) + len(chunks) + wide)
+        step = np.arange(wide, 0, -1)
+        order = np.argsort(left, kind="stable")
+        for at in np.split(order, np.cumsum(np.bincount(left)[1:])[:-1]):
+            if len(at):
+                v = score[at] + total[node[at][:, None] + step]
+                most = v.max(1)
+                total[node[at]] = most + np.log(np.exp(v - most[:, None]).sum(1))
+        score += total[node[:, None] + step] - total[node][:, None]
+        src, col = np.nonzero(score > -np.inf)
+        logp = score[src, col]
         heads = np.flatnonzero(np.r_[True, src[1:] != src[:-1]])
         count = np.diff(np.r_[heads, len(src)])
         c = np.cumsum(np.exp(logp))
         c -= np.repeat(np.r_[0.0, c[heads[1:] - 1]], count)
         c[heads + count - 1] = 2.0  # the last edge takes the rest
-        # every chunk has one node more than characters: its end
-        shift = np.repeat(np.arange(len(chunks)), size)
-        node = self.nodes + np.arange(len(cp)) + shift
         self._room(("first", "left"), self.nodes + len(cp) + len(chunks) + 1)
         self._room(("cum", "logp", "to", "label"), self.edges + len(src))
+        node += self.nodes
         self.first[node] = self.edges + heads
         self.left[self.nodes : self.nodes + len(cp) + len(chunks)] = 0
         self.left[node] = left
         part = slice(self.edges, self.edges + len(src))
-        self.cum[part], self.logp[part], self.label[part] = c, logp, label
-        self.to[part] = node[src] + length
+        self.cum[part], self.logp[part], self.label[part] = c, logp, label[src, col]
+        self.to[part] = node[src] + step[col]
         begin = self.nodes + np.cumsum(size) - size + np.arange(len(chunks))
         self.start.update(zip(chunks, begin.tolist()))
         self.nodes += len(cp) + len(chunks)
@@ -276,53 +270,64 @@ def sample_group(lat: Lattices, texts: list[str], row_keys: np.ndarray, k: int,
     samples: list[list[tuple]] = [[] for _ in texts]
     branches: list[list[_Branch]] = [[] for _ in texts]
     following = np.full(len(texts), -np.inf)
-    top = -np.log(-np.log(uniform(seed, row_keys, 0)))  # the root's Gumbel value
-    # what is walked next: per text the edges so far, and the word lattices that remain
+    top = -np.log(-np.log(uniform(seed, row_keys)))  # the root's Gumbel value
+    # what is walked next: per text the edges so far; the word lattices that remain follow
     going = [(i, np.empty(0, np.int64)) for i in range(len(texts))]
-    for r in range(k + 1):
-        nodes, owner, place = [], [], []
+    for r in range(k):
+        if not going:
+            break
+        seeds = mixed(seed, row_keys, r + 1)
+        nodes, place = [], []
         for i, head in going:
             done = int((lat.left[lat.to[head]] == 0).sum())  # word lattices that the head has finished
             rest = start[first[i] + done : first[i] + count[i]].copy()
             if len(head) and lat.left[lat.to[head[-1]]] > 0:
-                rest = np.r_[lat.to[head[-1]], rest[1:]]
-            nodes.append(rest), owner.append(np.full(len(rest), i)), place.append(done + np.arange(len(rest)))
-        if not going:
-            break
-        nodes, owner, place = map(np.concatenate, (nodes, owner, place))
-        who, took = lat.walk(nodes, lambda a, s: uniform(seed, row_keys[owner[a]], r + 1, place[a], s))
-        at = owner[who] if len(who) else who
-        bounds = np.searchsorted(at, [i for i, _ in going]), np.searchsorted(at, [i for i, _ in going], "right")
-        for (i, head), lo, hi in zip(going, *bounds):
-            edges = np.r_[head, took[lo:hi]]
-            logp = lat.logp[edges]
-            before = np.cumsum(logp) - logp
-            samples[i].append((lat.label[edges], float(logp.sum()), float(top[i])))
-            # every place after the head leaves its other edges aside, below this sample's value
-            p = np.arange(len(head), len(edges))
-            with np.errstate(divide="ignore"):
-                other = before[p] + np.log(np.maximum(-np.expm1(logp[p]), 0.0))
-            value = below(other, top[i], uniform(seed, row_keys[i], r + 1, p, 1 << 20))
-            value[~np.isfinite(other)] = -np.inf
-            keep = np.argsort(-value, kind="stable")[: k + 1]
-            branches[i] += [_Branch(float(value[j]), edges[: p[j]], (int(edges[p[j]]),), float(before[p[j]])) for j in keep if np.isfinite(value[j])]
-        going = []
-        for i in range(len(texts)):
-            if len(samples[i]) <= r or not branches[i]:
-                continue  # ended: fewer segmentations than asked for
-            branches[i].sort(key=lambda b: -b.value)
-            b = branches[i][0]
-            if len(samples[i]) == k:
+                rest[0] = lat.to[head[-1]]
+            nodes.append(rest), place.append(np.arange(done, done + len(rest)))
+        text = np.array([i for i, _ in going])
+        owner = np.repeat(np.arange(len(going)), [len(x) for x in nodes])
+        nodes, place = np.concatenate(nodes), np.concatenate(place)
+        who, took = lat.walk(nodes, lambda a, s: uniform(seeds[text[owner[a]]], place[a] * (1 << 20) + s))
+        new = np.bincount(owner[who], minlength=len(going)) if len(who) else np.zeros(len(going), np.int64)
+        cuts = np.split(took, np.cumsum(new)[:-1])
+        whole = [x for (_, head), part in zip(going, cuts) for x in (head, part)]
+        edges = np.concatenate(whole)
+        kept = np.array([len(head) for _, head in going])
+        size = kept + new
+        off = np.cumsum(size) - size
+        at = np.repeat(np.arange(len(going)), size)
+        logp = lat.logp[edges]
+        total = np.r_[0.0, np.cumsum(logp)]
+        before = total[:-1] - total[off][at]
+        place = np.arange(len(edges)) - off[at]
+        # every place after the head leaves its other edges aside, below this sample's value
+        with np.errstate(divide="ignore"):
+            other = before + np.log(np.maximum(-np.expm1(logp), 0.0))
+        value = below(other, top[text][at], uniform(seeds[text][at], place + (1 << 62)))
+        value[(place < kept[at]) | ~np.isfinite(other)] = -np.inf
+        labels = lat.label[edges]
+        for g, (i, _) in enumerate(going):
+            part = slice(off[g], off[g] + size[g])
+            samples[i].append((labels[part], float(total[part.stop] - total[part.start]), float(top[i])))
+            v = value[part]
+            best = np.argpartition(-v, k)[: k + 1] if len(v) > k + 1 else np.arange(len(v))
+            own = edges[part]
+            branches[i] += [_Branch(float(v[j]), own[:j], (int(own[j]),), float(before[part][j])) for j in best if np.isfinite(v[j])]
+        walked, going = going, []
+        for i, _ in walked:
+            if not branches[i]:
+                continue  # all of its segmentations are out
+            b = max(branches[i], key=lambda b: b.value)
+            if r + 1 == k:
                 following[i] = b.value
                 continue
-            del branches[i][0]
+            branches[i].remove(b)
             top[i] = b.value
-            edge, rest = _other(lat, b, uniform(seed, row_keys[i], r + 1, len(b.edges), 1 << 21), uniform(seed, row_keys[i], r + 1, len(b.edges), 1 << 22))
+            draw = uniform(seeds[i], len(b.edges) + (1 << 61)), uniform(seeds[i], len(b.edges) + (3 << 61))
+            edge, rest = _other(lat, b, *draw)
             if rest is not None:
                 branches[i].append(rest)
             going.append((i, np.r_[b.edges, edge]))
-        if r + 1 == k:
-            break
     return samples, following
 
 
