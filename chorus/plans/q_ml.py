@@ -203,7 +203,7 @@ CV_GRID = [
 def cv_grid(spark, sf):
     """10 stratified folds x four classifier families, vectors standardised inside the fold."""
     v = fx.vectors(spark, sf).withColumn("label", F.concat(F.lit("c"), F.col("label").cast("string")))
-    return classify.cv_grid(v, "vec_id", "vec", ["label"], CV_GRID, scalings=("standard",))
+    return classify.cv_grid(v, "vec_id", "vec", ["label"], CV_GRID, scalings=("standard",), parallel=8)
 
 
 # --- clustering and projection --------------------------------------------------------
