@@ -39,6 +39,15 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return _recount(out.select(*docs.columns))
 
 
+def passage_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """``line_dedup`` and, by the same pass, texts without later occurrences of passages of 50
+    words and more, which may stand on one line; a document of which nothing is left goes."""
+    prepare(spark)
+    out = linedup.dedup_lines(docs, passages=True)
+    out = out.where(~((F.col("n_removed") > 0) & ~F.col("text").rlike(r"\S")))
+    return _recount(out.select(*docs.columns))
+
+
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each near-duplicate group, that with the smallest doc_id."""
     prepare(spark)
@@ -60,7 +69,7 @@ def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 STAGES = [
     ("language_id", language_id),
-    ("line_dedup", line_dedup),
+    ("line_dedup", passage_dedup),
     ("near_dedup", near_dedup),
     ("pii", mask_pii),
     ("packing", pack),
