@@ -4,6 +4,9 @@ A document's set holds its distinct five-word shingles (64-bit hashes) and its s
 the minimum of 128 hash functions.  Documents with equal sets form a class; one row per
 class goes on.
 
+The similarity is a parameter; ``match``, the equal coordinates that a pair must have, follows
+from it.
+
 * Posting: every (coordinate, value) of a class is a token.  Tokens are ordered from rare
   to frequent; two classes with at least ``match`` equal coordinates share a token among
   the first ``128 - match + 1`` of each (prefix).  Tokens that only one class has are
@@ -21,6 +24,8 @@ rows that repeat a doc_id are separate sets of one document.
 
 from __future__ import annotations
 
+from math import comb
+
 import numpy as np
 import pyarrow as pa
 import xxhash
@@ -32,7 +37,7 @@ from chorus.operators.graph import connected_components
 
 WORDS = 5
 COORDS = 128
-MATCH = 92  # of 128; a pair at the threshold 0.85 expects 108.8 with deviation 4.0
+MISS = 5e-5  # most of the pairs exactly at the threshold that may fail the match bound
 CHUNK = 128
 SHARE = (85, 100)
 
@@ -43,6 +48,15 @@ _COORD = np.arange(COORDS, dtype=np.uint64) << np.uint64(32)
 _PRIME = np.uint64(0x9E3779B97F4A7C15)
 
 
+def match_bound(share: tuple[int, int]) -> int:
+    """The largest number of equal coordinates that a pair at the threshold misses with a
+    probability of at most ``MISS``: 92 at 0.85, 84 at 0.8."""
+    p, below, m = share[0] / share[1], 0.0, 0
+    while m < COORDS and below + (at := comb(COORDS, m) * p**m * (1 - p) ** (COORDS - m)) <= MISS:
+        below, m = below + at, m + 1
+    return max(m, 1)
+
+
 class _WordHashes(dict):
     """Word -> 64-bit hash, remembered up to a fixed number of words."""
 
@@ -120,44 +134,52 @@ def _sets(batches):
 _EDGE = pa.schema([("src", pa.int64()), ("dst", pa.int64())])
 
 
-def _links(table: pa.Table):
-    """Links inside one pair of blocks that join two parts, confirmed on full sets."""
-    i, j = table.column("i")[0].as_py(), table.column("j")[0].as_py()
-    ids, at = table.column("id").to_numpy(), table.column("c").to_numpy()
-    sets = [np.frombuffer(x.as_py(), np.uint64) for x in table.column("set")]
-    sig = np.stack([signature(s) for s in sets]).astype(np.uint32)
-    left, right = np.flatnonzero(at == i), np.flatnonzero(at == j)
-    hits = np.zeros((len(left), len(right)), np.uint8)
-    for k in range(COORDS):
-        hits += sig[left, k][:, None] == sig[right, k][None, :]
-    size = np.array([len(s) for s in sets])
-    a, b = size[left][:, None], size[right][None, :]
-    ok = (hits >= MATCH) & (SHARE[1] * np.minimum(a, b) >= SHARE[0] * np.maximum(a, b))
-    if i == j:
-        ok &= ids[left][:, None] < ids[right][None, :]
-    x, y = np.nonzero(ok)
-    order = np.argsort(-hits[x, y].astype(int), kind="stable")
-    parent = list(range(len(ids)))
-
-    def root(v):
-        while parent[v] != v:
-            parent[v] = v = parent[parent[v]]
-        return v
-
-    src, dst = [], []
-    for u, v in zip(left[x[order]], right[y[order]]):
-        if (p := root(u)) == (q := root(v)):
-            continue
-        both = len(np.intersect1d(sets[u], sets[v], assume_unique=True))
-        if SHARE[1] * both >= SHARE[0] * (size[u] + size[v] - both):
-            parent[p] = q
-            src.append(ids[u]), dst.append(ids[v])
-    if src:
-        yield batch(_EDGE, src=src, dst=dst)
-
-
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, n_shingles, component_id, kept), one row per row of ``docs``."""
+def _links(match: int, share: tuple[int, int]):
+    """Function for the links inside one pair of blocks that join two parts, confirmed on full sets."""
+
+    def run(table: pa.Table):
+        i, j = table.column("i")[0].as_py(), table.column("j")[0].as_py()
+        ids, at = table.column("id").to_numpy(), table.column("c").to_numpy()
+        sets = [np.frombuffer(x.as_py(), np.uint64) for x in table.column("set")]
+        sig = np.stack([signature(s) for s in sets]).astype(np.uint32)
+        left, right = np.flatnonzero(at == i), np.flatnonzero(at == j)
+        hits = np.zeros((len(left), len(right)), np.uint8)
+        for k in range(COORDS):
+            hits += sig[left, k][:, None] == sig[right, k][None, :]
+        size = np.array([len(s) for s in sets])
+        a, b = size[left][:, None], size[right][None, :]
+        ok = (hits >= match) & (share[1] * np.minimum(a, b) >= share[0] * np.maximum(a, b))
+        if i == j:
+            ok &= ids[left][:, None] < ids[right][None, :]
+        x, y = np.nonzero(ok)
+        order = np.argsort(-hits[x, y].astype(int), kind="stable")
+        parent = list(range(len(ids)))
+
+        def root(v):
+            while parent[v] != v:
+                parent[v] = v = parent[parent[v]]
+            return v
+
+        src, dst = [], []
+        for u, v in zip(left[x[order]], right[y[order]]):
+            if (p := root(u)) == (q := root(v)):
+                continue
+            both = len(np.intersect1d(sets[u], sets[v], assume_unique=True))
+            if share[1] * both >= share[0] * (size[u] + size[v] - both):
+                parent[p] = q
+                src.append(ids[u]), dst.append(ids[v])
+        if src:
+            yield batch(_EDGE, src=src, dst=dst)
+
+    return run
+
+
+def near_duplicates(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", share: tuple[int, int] = SHARE
+) -> DataFrame:
+    """(id, n_shingles, component_id, kept), one row per row of ``docs``; ``share`` is the least
+    similarity as a fraction."""
+    match = match_bound(share)
     src = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("t"))
     sigs = cut(src.mapInArrow(_describe, "id long, n long, h1 long, h2 long, tokens array<long>"))
     classes = cut(
@@ -169,8 +191,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     df = token.groupBy("token").agg(F.count(F.lit(1)).alias("df")).where("df > 1")
     shared = token.join(df.select(own("token").alias("k"), "df"), F.col("token") == F.col("k"))
     shared = shared.groupBy("h1", "h2", "rep").agg(F.array_sort(F.collect_list(F.struct("df", "token"))).alias("s"))
-    posting = shared.where(F.size("s") >= MATCH).select(
-        "h1", "h2", "rep", F.explode(F.slice("s", F.lit(1), F.size("s") - MATCH + 1)).alias("s")
+    posting = shared.where(F.size("s") >= match).select(
+        "h1", "h2", "rep", F.explode(F.slice("s", F.lit(1), F.size("s") - match + 1)).alias("s")
     ).select("h1", "h2", "rep", "s.token")
     posting = cut(posting)
 
@@ -195,7 +217,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     blocks = sets.withColumn("o", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1))).select(
         "cluster", F.least("c", "o").alias("i"), F.greatest("c", "o").alias("j"), "c", "id", "set"
     )
-    edges = by_group(blocks, ["cluster", "i", "j"], _links, "src long, dst long")
+    edges = by_group(blocks, ["cluster", "i", "j"], _links(match, share), "src long, dst long")
     comp = connected_components(edges)
 
     named = classes.select(own("h1").alias("g1"), own("h2").alias("g2"), "rep")

@@ -10,6 +10,8 @@ force on small tables.
 
 from __future__ import annotations
 
+from functools import partial
+
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -48,10 +50,10 @@ def passage_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     return _recount(out.select(*docs.columns))
 
 
-def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str, share: tuple[int, int] = minhash.SHARE) -> DataFrame:
     """One document of each near-duplicate group, that with the smallest doc_id."""
     prepare(spark)
-    gone = minhash.near_duplicates(docs).where(~F.col("kept")).select(F.col("id").alias("doc_id"))
+    gone = minhash.near_duplicates(docs, share=share).where(~F.col("kept")).select(F.col("id").alias("doc_id"))
     return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
 
 
@@ -67,10 +69,12 @@ def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return packing.pack(docs, public_tokenizers.path("word_bpe_49k.json"))
 
 
+NEAR = (80, 100)  # of the stage; 0.85 is the contract of op7
+
 STAGES = [
     ("language_id", language_id),
     ("line_dedup", passage_dedup),
-    ("near_dedup", near_dedup),
+    ("near_dedup", partial(near_dedup, share=NEAR)),
     ("pii", mask_pii),
     ("packing", pack),
 ]

@@ -77,3 +77,44 @@ def test_signature_estimates_similarity():
     exact = len(np.intersect1d(a, b)) / len(np.union1d(a, b))
     assert abs(same - exact) < 0.12 and exact > 0.85
     assert SF
+
+
+def brute_at(rows, percent):
+    """Component of each id by exact similarity of all pairs, at any threshold."""
+    sets = [(i, shingles(t)) for i, t in rows]
+    comp = {i: i for i, _ in sets}
+    for k, (i, s) in enumerate(sets):
+        for j, x in sets[:k]:
+            if s and x and 100 * len(s & x) >= percent * len(s | x) and comp[i] != comp[j]:
+                low, high = sorted((comp[i], comp[j]))
+                comp = {v: low if c == high else c for v, c in comp.items()}
+    return comp
+
+
+def test_match_bound_follows_the_similarity():
+    assert minhash.match_bound((85, 100)) == 92 and minhash.match_bound((80, 100)) == 84
+
+
+def test_similarity_is_a_parameter(spark):
+    """Pairs between 0.80 and 0.85 are links at 0.8 only."""
+    rows = []
+    for k in range(40):
+        words = [f"d{k}x{i}" for i in range(304)]
+        near = words[: 300 - k] + [f"n{k}x{i}" for i in range(k + 4)]
+        rows += [(2 * k, " ".join(words)), (2 * k + 1, " ".join(near))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    at80, at85 = brute_at(rows, 80), brute_at(rows, 85)
+    assert at80 != at85
+    assert {r["id"]: r["component_id"] for r in minhash.near_duplicates(docs, share=(80, 100)).collect()} == at80
+    assert {r["id"]: r["component_id"] for r in minhash.near_duplicates(docs).collect()} == at85
+
+
+def test_pipeline_stage_takes_080(spark):
+    import corpus_pipeline as P
+
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    rows = [(r["doc_id"], r["text"]) for r in docs.collect()]
+    want = brute_at(rows, 80)
+    assert want != brute_at(rows, 85)
+    near = dict(P.STAGES)["near_dedup"](spark, docs, SF)
+    assert {r["doc_id"] for r in near.collect()} == {i for i, c in want.items() if i == c} and near.columns == docs.columns
