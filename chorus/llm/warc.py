@@ -66,6 +66,7 @@ def url_key(url: str | None) -> str:
         return "-)" + quote(url or "", safe="/:?&=%#")
     port = f":{port}" if port and port != _DEFAULT_PORT.get(u.scheme) else ""
     rest = (u.path or "/") + (f"?{u.query}" if u.query else "")
+    host = re.sub(r"\s", lambda m: quote(m[0]), host)  # a space ends the key in its index line
     return ",".join(reversed(host.strip(".").split("."))) + port + ")" + quote(rest, safe="/:?&=%;,@+!$'()*~[]")
 
 

@@ -64,3 +64,10 @@ def test_keys():
     assert warc.url_key("http://www.Example.com:80/a b?q") == "com,example,www)/a%20b?q"
     assert warc.url_key("https://example.com:8443") == "com,example:8443)/"
     assert warc.url_key(None) == "-)"
+
+
+def test_hosts_with_white_space(spark):
+    urls = ["http://exa mple.com/x", "http://exa mple.com/x", "http:// lead.com", "http://a.b c:81/?q r", "http:// x　.de/", "http:// /", "http://exa%20mple.com/x"]
+    rows = [(i, u, f"body {i}") for i, u in enumerate(urls)]
+    assert not any(c.isspace() for u in urls for c in warc.url_key(u))
+    assert run(spark, spark.createDataFrame(rows, "page_id long, url string, html string")) == brute(rows)
