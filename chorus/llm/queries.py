@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from chorus.llm import langid, lattice, linedup, mih, minhash, packing, pii, pivots, sharding, warc
+from chorus.llm import codes, langid, lattice, linedup, mih, minhash, packing, pii, pivots, resample, sharding, warc
 from chorus.llm.common import read_table
 from chorus.session import scratch_path
 
@@ -74,11 +74,23 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return linedup.dedup_lines(docs)
 
 
+def op12_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All embeddings as product codes of 16 parts."""
+    return codes.compress(read_table(spark, sf_dir, "embeddings"))
+
+
+def op13_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents scored towards the benchmark texts, five in a hundred drawn."""
+    return resample.resample(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         op1_warc, op2_sharding, op3_pii, op4_lattice, op5_language_id, op6_multi_index, op7_minhash, op8_pivots,
-        op9_packing, op10_line_dedup,
+        op9_packing, op10_line_dedup, op12_vector_codes, op13_importance,
     )
 }
-ORACLES = {"op1_warc": warc.ORACLE, "op10_line_dedup": linedup.ORACLE}
+ORACLES = {
+    "op1_warc": warc.ORACLE, "op10_line_dedup": linedup.ORACLE, "op12_vector_codes": codes.ORACLE, "op13_importance": resample.ORACLE,
+}

@@ -11,7 +11,7 @@ from chorus.llm import queries as Q
 @pytest.mark.parametrize("name", sorted(Q.ORACLES))
 def test_oracles(spark, name):
     con = duckdb.connect()
-    for t in ("documents", "pages"):
+    for t in ("documents", "pages", "embeddings", "benchmark"):
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{SF}/{t}.parquet')")
     res = con.execute(Q.ORACLES[name])
     cols = [d[0] for d in res.description]
@@ -29,6 +29,8 @@ CONTRACT = {
     "op7_minhash": ["doc_id", "n_shingles", "component_id", "kept"],
     "op8_pivots": ["vec_id", "n_links", "component_id", "kept"],
     "op9_packing": ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"],
+    "op12_vector_codes": ["vec_id", "code", "error", "label_error", "codebooks_sha256"],
+    "op13_importance": ["doc_id", "n_features", "weight", "score", "rank"],
 }
 
 
@@ -40,4 +42,4 @@ def test_contract_columns(spark, name):
 
 
 def test_pipeline_is_registered():
-    assert "pipeline" in E.queries() and len([n for n in E.queries() if n.startswith("op")]) == 10
+    assert "pipeline" in E.queries() and len([n for n in E.queries() if n.startswith("op")]) == 13
