@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from chorus.llm import codes, langid, lattice, linedup, mih, minhash, packing, pii, pivots, resample, sharding, warc
+from chorus.llm import codes, langid, lattice, linedup, mih, minhash, packing, pii, pivots, repack, resample, sharding, warc
 from chorus.llm.common import read_table
 from chorus.session import scratch_path
 
@@ -74,6 +74,11 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return linedup.dedup_lines(docs)
 
 
+def op11_repacking(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents in as few sequences of 4096 tokens as best-fit and exchange find."""
+    return repack.pack(read_table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+
+
 def op12_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All embeddings as product codes of 16 parts."""
     return codes.compress(read_table(spark, sf_dir, "embeddings"))
@@ -88,7 +93,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         op1_warc, op2_sharding, op3_pii, op4_lattice, op5_language_id, op6_multi_index, op7_minhash, op8_pivots,
-        op9_packing, op10_line_dedup, op12_vector_codes, op13_importance,
+        op9_packing, op10_line_dedup, op11_repacking, op12_vector_codes, op13_importance,
     )
 }
 ORACLES = {

@@ -29,6 +29,7 @@ CONTRACT = {
     "op7_minhash": ["doc_id", "n_shingles", "component_id", "kept"],
     "op8_pivots": ["vec_id", "n_links", "component_id", "kept"],
     "op9_packing": ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"],
+    "op11_repacking": ["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"],
     "op12_vector_codes": ["vec_id", "code", "error", "label_error", "codebooks_sha256"],
     "op13_importance": ["doc_id", "n_features", "weight", "score", "rank"],
 }
