@@ -16,9 +16,10 @@ from chorus.session import checkpoint_dir
 
 def _star_min(pairs: DataFrame) -> DataFrame:
     """(key, v) -> the smallest v of each key.  The key is re-expressed so that the later
-    join gets an exchange of its own (a skewed join is only split between two exchanges)."""
+    join gets an exchange of its own (a skewed join is only split between two exchanges;
+    adding 0 would be simplified away)."""
     m = pairs.groupBy("key").agg(F.min("v").alias("m"))
-    return m.select((F.col("key") + F.lit(0)).alias("k"), "m")
+    return m.select(F.col("key").bitwiseXOR(F.lit(0)).alias("k"), "m")
 
 
 def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst") -> DataFrame:
