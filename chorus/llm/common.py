@@ -24,8 +24,9 @@ def cut(df: DataFrame) -> DataFrame:
 
 def own(c: Column | str) -> Column:
     """An integer key re-expressed, so that a join on an aggregated side gets an exchange
-    of its own; adaptive execution splits a hot key only between two such exchanges."""
-    return (F.col(c) if isinstance(c, str) else c) + F.lit(0)
+    of its own; adaptive execution splits a hot key only between two such exchanges.  (Adding
+    0 would be simplified away, and with it the exchange.)"""
+    return (F.col(c) if isinstance(c, str) else c).bitwiseXOR(F.lit(0))
 
 
 def groups(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.Table]:
