@@ -18,6 +18,7 @@ from __future__ import annotations
 
 import re
 import zlib
+from array import array
 
 import numpy as np
 import pyarrow as pa
@@ -34,13 +35,13 @@ LANE_DOCS = 4096
 _PLAIN = "\t-\r -~¡-©«-±´¶-¸»¿À-įı-ſ‐-‧‰-⁞€"
 _OTHER = re.compile(f"[^{_PLAIN}]|<\\|(?:start|end)oftext\\|>")
 _LETTER = "a-zÀ-ÖØ-öø-ſ"
-_PRE = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{_LETTER}]+|[0-9]|[^\\s{_LETTER}0-9]+")
+_PRE = re.compile(f"[{_LETTER}]+|[0-9]|'(?:[stmd]|re|ve|ll)|[^\\s{_LETTER}0-9]+")
 
 
 class WordTokenizer:
     """``tokenizers`` ids of whole texts, with the ids of words remembered (bounded)."""
 
-    limit = 200_000
+    limit = 600_000
 
     def __init__(self, path: str):
         import os
@@ -50,32 +51,49 @@ class WordTokenizer:
 
         self.whole = Tokenizer.from_file(path)
         self.model = self.whole.model
-        self.to_bytes = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False).pre_tokenize_str
+        to_bytes = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False).pre_tokenize_str
+        self.chars = _Table(lambda c: to_bytes(chr(c))[0][0])
         self.dtype = "<u2" if self.whole.get_vocab_size() <= 1 << 16 else "<u4"
-        self.words, self.parts = _Memo(self._word, self.limit), _Memo(self._part, self.limit)
-
-    def _part(self, part: str) -> bytes:
-        ids = [t.id for piece, _ in self.to_bytes(part) for t in self.model.tokenize(piece)]
-        return np.array(ids, self.dtype).tobytes()
+        self.code = {"<u2": "H", "<u4": "I"}[self.dtype]
+        self.words = _Memo(self._word, self.limit)
 
     def _word(self, word: str) -> bytes:
-        return b"".join(map(self.parts.__getitem__, _PRE.findall(word.lower())))
+        return array(self.code, [t.id for t in self.model.tokenize(word.translate(self.chars))]).tobytes()
 
     def encode(self, text: str) -> bytes:
         """Ids as little-endian numbers of ``dtype``."""
         if _OTHER.search(text):
             return np.array(self.whole.encode(text, add_special_tokens=False).ids, self.dtype).tobytes()
-        return b"".join(map(self.words.__getitem__, text.split()))
+        return b"".join(map(self.words.__getitem__, _PRE.findall(text.lower())))
+
+
+class _Table(dict):
+    """``make(key)`` by key, each made once."""
+
+    def __init__(self, make):
+        self.make = make
+
+    def __missing__(self, key):
+        self[key] = v = self.make(key)
+        return v
 
 
-class _Memo(dict):
+class _Memo(_Table):
+    """``make(key)`` by key in two generations: a full one becomes the old one, and what is
+    asked for again moves on, so that frequent keys stay."""
+
     def __init__(self, make, limit: int):
-        self.make, self.limit = make, limit
+        super().__init__(make)
+        self.old, self.limit = {}, limit // 2
 
     def __missing__(self, key):
+        v = self.old.get(key)
+        if v is None:
+            v = self.make(key)
         if len(self) >= self.limit:
+            self.old = dict(self)
             self.clear()
-        self[key] = v = self.make(key)
+        self[key] = v
         return v
 
 
