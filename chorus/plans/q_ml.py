@@ -8,7 +8,7 @@ from pyspark.ml import PipelineModel
 from pyspark.sql import functions as F
 
 from chorus.functions import text as tx
-from chorus.operators import classify, cluster, encode, evaluate, sampling, topics
+from chorus.operators import classify, cluster, density, encode, evaluate, sampling, topics
 from chorus.operators import relational as rel
 from chorus.operators import vectors as vo
 from chorus.plans import fixtures as fx
@@ -239,18 +239,48 @@ lab AS (SELECT id, cid FROM comp UNION ALL SELECT e.src, min(comp.cid) FROM e JO
 SELECT p.vec_id, COALESCE(lab.cid, -1) AS dbscan_cluster FROM p LEFT JOIN lab ON p.vec_id = lab.id"""
 
 
+def _plane(spark, sf):
+    """Every vector as the sums of its odd and even entries."""
+    part = lambda r: F.round(F.aggregate(F.transform("vec", lambda x, i: F.when(i % 2 == r, x).otherwise(0.0)), F.lit(0.0), lambda a, x: a + x), 6)
+    return fx.vectors(spark, sf).select("vec_id", F.array(part(0), part(1)).alias("vec"))
+
+
 @query("dbscan_plane", _SQL_DBSCAN)
 def dbscan_plane(spark, sf):
     """DBSCAN (eps 0.1, 5 samples incl. self) on the plane of the sums of odd and even entries."""
-    part = lambda r: F.round(F.aggregate(F.transform("vec", lambda x, i: F.when(i % 2 == r, x).otherwise(0.0)), F.lit(0.0), lambda a, x: a + x), 6)
-    v = fx.vectors(spark, sf).select("vec_id", F.array(part(0), part(1)).alias("vec"))
-    return cluster.dbscan(v, "vec_id", "vec", eps=0.1, min_samples=5)
+    return cluster.dbscan(_plane(spark, sf), "vec_id", "vec", eps=0.1, min_samples=5)
+
+
+_SQL_DBSCAN_VECTORS = _SQL_DBSCAN[: _SQL_DBSCAN.index("p AS")] + """p AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS e FROM embeddings),
+e AS (SELECT a.vec_id AS src, b.vec_id AS dst FROM p a, p b WHERE list_distance(a.e, b.e) <= 1.15)""" + _SQL_DBSCAN[_SQL_DBSCAN.index(",\ncore AS") :]
+
+
+@query("dbscan_vectors", _SQL_DBSCAN_VECTORS)
+def dbscan_vectors(spark, sf):
+    """DBSCAN (eps 1.15, 5 samples incl. self) on the whole vectors, in all their dimensions."""
+    return cluster.dbscan(fx.vectors(spark, sf), "vec_id", "vec", eps=1.15, min_samples=5)
+
+
+_SQL_SHIFT = _SQL_DBSCAN[: _SQL_DBSCAN.index(",\ne AS")] + """,
+r AS (SELECT min(vec_id) AS seed, x, y, 0 AS step, false AS still, CAST(0 AS BIGINT) AS n FROM p GROUP BY x, y
+  UNION ALL SELECT r.seed, avg(p.x), avg(p.y), r.step + 1,
+  sqrt((avg(p.x) - r.x) * (avg(p.x) - r.x) + (avg(p.y) - r.y) * (avg(p.y) - r.y)) <= 0.0003, count(*)
+  FROM r, p WHERE NOT r.still AND r.step < 300 AND sqrt((p.x - r.x) * (p.x - r.x) + (p.y - r.y) * (p.y - r.y)) <= 0.3 GROUP BY r.seed, r.x, r.y, r.step)
+SELECT seed, round(x, 4) + 0.0 AS x, round(y, 4) + 0.0 AS y, n FROM r WHERE still"""
+
+
+@query("mean_shift_seeds", _SQL_SHIFT)
+def mean_shift_seeds(spark, sf):
+    """Where every point of the plane ends under mean shift (bandwidth 0.3), with the points
+    around it."""
+    ends = density.shifted_seeds(_plane(spark, sf), "vec_id", "vec", 0.3)
+    return ends.select("seed", *[(F.round(F.col("v")[i], 4) + F.lit(0.0)).alias(a) for i, a in enumerate("xy")], "n")
 
 
 @query("mean_shift")
 def mean_shift(spark, sf):
     """Flat-kernel mean shift (bandwidth 0.1) on a 3-d projection."""
-    return cluster.mean_shift(_proj(spark, sf, 3), "vec_id", "vec", bandwidth=0.1)
+    return density.mean_shift(_proj(spark, sf, 3), "vec_id", "vec", bandwidth=0.1, seeds="bins")
 
 
 @query("cluster_table")
@@ -259,7 +289,7 @@ def cluster_table(spark, sf):
     v = fx.vectors(spark, sf)
     km = cluster.kmeans(v, "vec_id", "vec", k=5, seed=42)
     gm = cluster.gmm(_proj(spark, sf, 10), "vec_id", "vec", k=5, seed=42)
-    ms = cluster.mean_shift(_proj(spark, sf, 3), "vec_id", "vec", bandwidth=0.1)
+    ms = density.mean_shift(_proj(spark, sf, 3), "vec_id", "vec", bandwidth=0.1, seeds="bins")
     return v.select("vec_id", "label").join(km, "vec_id").join(gm, "vec_id").join(ms, "vec_id")
 
 
