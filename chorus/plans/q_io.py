@@ -19,7 +19,7 @@ from chorus.plans.q_aggregate import flagship
 from chorus.plans.fixtures import sql_clean, sql_tokens, with_ctes
 from chorus.plans.registry import query
 from chorus.session import scratch_path
-from chorus.sources import files
+from chorus.sources import files, named_texts, resumable
 from chorus.sources.tables import table
 
 
@@ -146,6 +146,48 @@ def incremental_by_key(spark, sf):
     return back.select(F.col("username").cast("string").alias("username"), "n_posts", "n_chars")
 
 
+@query(
+    "text_file_per_row",
+    with_ctes("posts")
+    + f"SELECT username || '_' || CAST(row_number() OVER (PARTITION BY username ORDER BY id) - 1 AS VARCHAR) || '.txt' AS file_name, "
+    f"{sql_clean('tweet')} AS text FROM posts WHERE username IS NOT NULL",
+)
+def text_file_per_row(spark, sf):
+    """One file per post named ``{user}_{i}.txt`` on the shared folder, read back."""
+    p = fx.posts(spark, sf).filter(F.col("username").isNotNull()).select("id", "username", "tweet")
+    pos = position_within(p.select("username", "id"), ["username"], ["id"], out="i")
+    name = F.concat("username", F.lit("_"), F.col("i").cast("string"), F.lit(".txt"))
+    named = p.join(pos.select("id", name.alias("file_name")), "id").select("file_name", tx.clean_text("tweet").alias("text"))
+    out = scratch_path(spark, "files")
+    named_texts.write_text_files(named, out)
+    return named_texts.read_text_files(spark, out)
+
+
+@query(
+    "resumed_by_key",
+    with_ctes("posts")
+    + f"SELECT username, count(*) AS n_posts, CAST(sum(length({sql_clean('tweet')})) AS BIGINT) AS n_chars FROM posts WHERE username IS NOT NULL GROUP BY username",
+)
+def resumed_by_key(spark, sf):
+    """Per-user results in waves with manifests; a first run that breaks off after half of its
+    waves is resumed."""
+    p = fx.posts(spark, sf).filter(F.col("username").isNotNull()).select("username", "tweet")
+    out, calls = scratch_path(spark, "resumable"), []
+
+    def per_user(part):
+        calls.append(1)
+        if len(calls) == 3:
+            raise InterruptedError("the first run ends here")
+        clean = part.select("username", tx.clean_text("tweet").alias("t"))
+        return clean.groupBy("username").agg(F.count(F.lit(1)).alias("n_posts"), F.sum(tx.text_length("t")).cast("long").alias("n_chars"))
+
+    try:
+        resumable.compute_missing(p, out, "username", per_user, waves=4)
+    except InterruptedError:
+        resumable.compute_missing(p, out, "username", per_user, waves=4)
+    return resumable.read_results(spark, out)
+
+
 @query("table_sink", with_ctes("posts") + "SELECT row_number() OVER (ORDER BY id) - 1 AS \"index\", id, username, language FROM posts")
 def table_sink(spark, sf):
     """Relational sink that refuses to overwrite, with an index column; read back."""
