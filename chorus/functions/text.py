@@ -11,9 +11,12 @@ from __future__ import annotations
 
 from collections.abc import Iterable, Sequence
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from chorus.functions.replace import replacer
+
 # ---------------------------------------------------------------------------
 # Fixed values that must equal the reference for identical results.
 # Reserved words removed by the annotation cleaner: RT, FAV
@@ -80,6 +83,20 @@ def with_clean(df: DataFrame, col: str, out: str, strip_pl: bool = True) -> Data
     return df.select(*rest, F.inline(F.array(F.struct(clean_text(col, strip_pl).alias(out)))))
 
 
+MANY_KEYS = 64  # from here on one pass of an automaton, whatever the size of the map
+
+
+def _in_one_pass(col: Column, mapping: list[tuple[str, str]]) -> Column:
+    """As the loop, on the rows that hold a character from which a key may start."""
+    def run(texts: pd.Series) -> pd.Series:
+        one = replacer(mapping)
+        return texts.map(one, na_action="ignore")
+
+    lowest = min((ord(k[0]) for k, _ in mapping if k), default=0)
+    pattern = f"[\\x{{{lowest:X}}}-\\x{{10FFFF}}]"
+    return F.when(col.isNull() | ~col.rlike(pattern), col).otherwise(F.pandas_udf(run, "string")(col))
+
+
 def emoji_to_text(col: Column | str, mapping: Sequence[tuple[str, str]] | Column) -> Column:
     """Replace each key by ``<description>`` sequentially in mapping order.
 
@@ -95,6 +112,8 @@ def emoji_to_text(col: Column | str, mapping: Sequence[tuple[str, str]] | Column
 
     if isinstance(mapping, Column):
         return run(mapping)
+    if len(mapping) > MANY_KEYS:
+        return _in_one_pass(_c(col), list(mapping))
     # A key none of whose characters occur in any inserted "<v>" can only
     # match text that was in the input already.  Rows that contain no first character
     # of such keys (most rows: no emoji) run only the other keys - exact, and the cost

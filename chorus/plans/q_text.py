@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from chorus.functions import text as tx
 from chorus.operators import aggregate as agg
-from chorus.operators import corpus
+from chorus.operators import corpus, subwords
 from chorus.plans import fixtures as fx
 from chorus.plans.fixtures import SQL_W, sql_clean, sql_tokens, with_ctes
 from chorus.plans.registry import query
@@ -197,3 +197,42 @@ def lemmatize_by_dictionary(spark, sf):
     d = table(spark, sf, "documents")
     dic = corpus.lemma_dictionary_from_corpus(d, "text")
     return corpus.lemmatize_by_dictionary(d, "doc_id", "text", dic, tagset="noun", keep_interp=False)
+
+
+def _subwords(spark, sf):
+    """Subword counts of all documents, by the tokenizer file that the environment names."""
+    import os
+
+    path = os.environ.get("CHORUS_TOKENIZER")
+    if not path:
+        import public_tokenizers
+
+        path = public_tokenizers.path("word_bpe_49k.json")
+    return subwords.subword_counts(table(spark, sf, "documents").select("doc_id", "text"), "text", path)
+
+
+@query("subword_counts")
+def subword_counts(spark, sf):
+    """Subwords of every document, start and end token included."""
+    return _subwords(spark, sf).select("doc_id", "n_subwords")
+
+
+@query("subword_count_hist")
+def subword_count_hist(spark, sf):
+    """Histogram of the subword counts in 200 bins."""
+    return agg.hist_fixed_bins(_subwords(spark, sf).select(F.col("n_subwords").alias("x")), "x", 200)
+
+
+# Every character from the Arrows block on is a key here, some with a following selector
+MANY = [(chr(c), f"u{c:x}") for c in range(0x2190, 0x2BFF)] + [(chr(c), f"u{c:x}") for c in range(0x1F300, 0x1FAFF)]
+
+
+@query(
+    "emoji_large_map",
+    with_ctes("posts")
+    + "SELECT id, array_to_string(list_transform(string_split(tweet, ''), lambda c: CASE WHEN (ord(c) BETWEEN 8592 AND 11262) OR (ord(c) BETWEEN 127744 AND 129790) "
+    "THEN '<u' || lower(hex(ord(c))) || '>' ELSE c END), '') AS tweet FROM posts",
+)
+def emoji_large_map(spark, sf):
+    """A map of thousands of keys in one pass."""
+    return fx.posts(spark, sf).select("id", tx.emoji_to_text("tweet", MANY).alias("tweet"))
