@@ -83,7 +83,7 @@ def with_clean(df: DataFrame, col: str, out: str, strip_pl: bool = True) -> Data
     return df.select(*rest, F.inline(F.array(F.struct(clean_text(col, strip_pl).alias(out)))))
 
 
-MANY_KEYS = 64  # from here on one pass of an automaton, whatever the size of the map
+MANY_KEYS = 64  # from here on one pass, whatever the size of the map
 
 
 def _in_one_pass(col: Column, mapping: list[tuple[str, str]]) -> Column:
