@@ -216,6 +216,30 @@ def kmeans_clusters(spark, sf):
     return cluster.kmeans(fx.vectors(spark, sf), "vec_id", "vec", k=5, seed=42)
 
 
+def _sql_lloyd(rounds: int) -> str:
+    near = "list_distance(p.e, c.e)"
+    sql = """WITH p AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS e FROM embeddings),
+c0 AS (SELECT row_number() OVER (ORDER BY md5(CAST(vec_id AS VARCHAR) || ':42')) - 1 AS k, e FROM p QUALIFY k < 5)"""
+    for i in range(rounds + 1):
+        sql += f", a{i} AS (SELECT vec_id, any_value(p.e) AS e, arg_min(k, ({near}, k)) AS k, min({near}) AS d FROM p, c{i} c GROUP BY vec_id)"
+        if i < rounds:
+            sql += (
+                f", m{i} AS (SELECT k, list(m ORDER BY j) AS e FROM (SELECT k, j, avg(e[j]) AS m FROM a{i}, "
+                f"(SELECT unnest(range(1, (SELECT max(len(e)) FROM p) + 1)) AS j) GROUP BY k, j) GROUP BY k)"
+                f", c{i + 1} AS (SELECT k, coalesce(m.e, c.e) AS e FROM c{i} c LEFT JOIN m{i} m USING (k))"
+            )
+    return sql + f" SELECT vec_id, k AS kmeans_cluster, round(d, 6) AS distance FROM a{rounds}"
+
+
+@query("kmeans_from_start", _sql_lloyd(3))
+def kmeans_from_start(spark, sf):
+    """Labels and distances after three rounds from five centres that md5 picks."""
+    v = fx.vectors(spark, sf)
+    first = v.orderBy(F.md5(F.concat(F.col("vec_id").cast("string"), F.lit(":42")))).limit(5).collect()
+    found, _ = cluster.lloyd(v, "vec_id", "vec", [r["vec"] for r in first], rounds=3)
+    return found.select("vec_id", "kmeans_cluster", r6("distance").alias("distance"))
+
+
 @query("gmm_clusters")
 def gmm_clusters(spark, sf):
     """Gaussian mixture on a 10-d PCA projection (covariance cost grows with d^2)."""
