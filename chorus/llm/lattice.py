@@ -11,8 +11,8 @@ lies below it (the A* bound).  That is sampling without replacement.  The next v
 k-th gives each sample's inclusion score, log(1 - exp(-exp(log p - next))).
 
 No piece crosses from a non-space into a space, so the lattice is a chain of word lattices.
-Those of distinct words are built once per task (bounded) and whole groups of texts are walked
-together, one choice of every word at a time.  Random numbers are hashes of (seed, row key,
+Those of distinct words are built once per worker; beyond ``MAX_NODES`` those of rare
+words go and the frequent ones stay.  Whole groups of texts are walked together, one choice of every word at a time.  Random numbers are hashes of (seed, row key,
 sample, place): a row gives the same samples wherever it is computed.
 
 Defined results: a null or empty text has one segmentation without pieces; a text with fewer
@@ -24,6 +24,7 @@ from __future__ import annotations
 
 import re
 import zlib
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -134,6 +135,7 @@ class Lattices:
         self.nodes = self.edges = 0
         self.first = np.zeros(1 << 16, np.int32)  # first edge of a node
         self.left = np.zeros(1 << 16, np.int32)  # characters to the chunk's end
+        self.uses = np.zeros(1 << 16, np.int32)  # groups of texts that held a chunk, at its first node
         self.cum = np.zeros(1 << 17, np.float32)  # cumulated conditional probability inside the node
         self.logp = np.zeros(1 << 17)
         self.to = np.zeros(1 << 17, np.int32)
@@ -151,13 +153,14 @@ class Lattices:
         # characters left in the chunk, from each character on
         left = np.repeat(np.cumsum(size), size) - np.arange(len(cp))
         wide = min(max(self.pieces.by_length, default=1), int(left.max()))
-        # score and label of the piece of n characters at each place, the longest first
-        score = np.full((len(cp), wide), -np.inf)
-        label = np.zeros((len(cp), wide), np.int32)
+        # edges as (place, characters, score, label), length by length
+        src, step, score, label = [], [], [], []
+        bare = np.ones(len(cp), bool)  # characters without a piece of their own
         start, h = np.arange(len(cp)), np.zeros(len(cp), np.uint64)
         for n in range(1, wide + 1):
-            fits = left[start] >= n
-            start, h = start[fits], h[fits]
+            if n > 1:
+                fits = left[start] >= n
+                start, h = start[fits], h[fits]
             h = h * _P + cp[start + n - 1]
             if n not in self.pieces.by_length:
                 continue
@@ -168,52 +171,94 @@ class Lattices:
             k[k == len(known)] = 0
             hit = known[k] == want
             at, found = at[hit], ids[k[hit]]
-            score[at, wide - n], label[at, wide - n] = self.pieces.score[found], found
-        rest = np.flatnonzero(score[:, -1] == -np.inf)
+            if n == 1:
+                bare[at] = False
+            src.append(at), step.append(np.full(len(at), n)), score.append(self.pieces.score[found]), label.append(found)
+        rest = np.flatnonzero(bare)
         if len(rest):
             code = cp[rest].astype(np.int64)
-            score[rest, -1] = self.pieces.byte_score * (1 + (code > 0x7F) + (code > 0x7FF) + (code > 0xFFFF))
-            label[rest, -1] = np.where(code < 128, self.pieces.byte[np.minimum(code, 127)], code + self.pieces.size)
+            src.append(rest), step.append(np.ones(len(rest), np.int64))
+            score.append(self.pieces.byte_score * (1 + (code > 0x7F) + (code > 0x7FF) + (code > 0xFFFF)))
+            label.append(np.where(code < 128, self.pieces.byte[np.minimum(code, 127)], code + self.pieces.size))
+        src, step, score, label = (np.concatenate(x) for x in (src, step, score, label))
+        # by distance to the chunk's end, then place, the longest first
+        far = left[src]
+        o = np.argsort((far * len(cp) + src) * (wide + 1) - step)
+        far, src, step, score = far[o], src[o], step[o], score[o]
         # every chunk has one node more than characters: its end.  total: log of the summed
         # weight of all ways from a node to the end, from the ends backwards
         node = np.arange(len(cp)) + np.repeat(np.arange(len(chunks)), size)
-        total = np.zeros(len(cp) + len(chunks) + wide)
-        step = np.arange(wide, 0, -1)
-        order = np.argsort(left, kind="stable")
-        for at in np.split(order, np.cumsum(np.bincount(left)[1:])[:-1]):
-            if len(at):
-                v = score[at] + total[node[at][:, None] + step]
-                most = v.max(1)
-                total[node[at]] = most + np.log(np.exp(v - most[:, None]).sum(1))
-        score += total[node[:, None] + step] - total[node][:, None]
-        src, col = np.nonzero(score > -np.inf)
-        logp = score[src, col]
+        to = node[src] + step
+        total = np.zeros(len(cp) + len(chunks))
+        heads = np.flatnonzero(np.r_[True, src[1:] != src[:-1]])
+        count = np.diff(np.r_[heads, len(src)])
+        levels = np.r_[np.flatnonzero(np.r_[True, np.diff(far[heads]) > 0]), len(heads)]
+        ends = np.r_[heads, len(src)]
+        for lo, hi in zip(levels[:-1], levels[1:]):
+            e = slice(ends[lo], ends[hi])
+            v = score[e] + total[to[e]]
+            cut = heads[lo:hi] - ends[lo]
+            most = np.maximum.reduceat(v, cut)
+            summed = most + np.log(np.add.reduceat(np.exp(v - np.repeat(most, count[lo:hi])), cut))
+            total[node[src[heads[lo:hi]]]] = summed
+            score[e] = v - np.repeat(summed, count[lo:hi])
+        # back to the order of the places
+        back = np.argsort(src, kind="stable")
+        o = o[back]
+        src, step, logp, label = src[back], step[back], score[back], label[o]
         heads = np.flatnonzero(np.r_[True, src[1:] != src[:-1]])
         count = np.diff(np.r_[heads, len(src)])
         c = np.cumsum(np.exp(logp))
         c -= np.repeat(np.r_[0.0, c[heads[1:] - 1]], count)
         c[heads + count - 1] = 2.0  # the last edge takes the rest
-        self._room(("first", "left"), self.nodes + len(cp) + len(chunks) + 1)
+        self._room(("first", "left", "uses"), self.nodes + len(cp) + len(chunks) + 1)
         self._room(("cum", "logp", "to", "label"), self.edges + len(src))
         node += self.nodes
         self.first[node] = self.edges + heads
         self.left[self.nodes : self.nodes + len(cp) + len(chunks)] = 0
+        self.uses[self.nodes : self.nodes + len(cp) + len(chunks)] = 0
         self.left[node] = left
         part = slice(self.edges, self.edges + len(src))
-        self.cum[part], self.logp[part], self.label[part] = c, logp, label[src, col]
-        self.to[part] = node[src] + step[col]
+        self.cum[part], self.logp[part], self.label[part] = c, logp, label
+        self.to[part] = node[src] + step
         begin = self.nodes + np.cumsum(size) - size + np.arange(len(chunks))
         self.start.update(zip(chunks, begin.tolist()))
         self.nodes += len(cp) + len(chunks)
         self.edges += len(src)
 
+    def keep_frequent(self) -> None:
+        """Drop the lattices of chunks that one group of texts held, and the rarest of the others beyond
+        half of the room; what stays moves together and its counts are halved."""
+        names = list(self.start)
+        begin = np.fromiter(self.start.values(), np.int64, len(names))
+        size = np.diff(np.r_[begin, self.nodes])
+        edge = self.first[begin].astype(np.int64)
+        edges = np.diff(np.r_[edge, self.edges])
+        uses = self.uses[begin]
+        o = np.argsort(-uses, kind="stable")
+        o = np.sort(o[(np.cumsum(size[o]) <= MAX_NODES // 2) & (uses[o] > 1)])
+        begin, size, edge, edges = begin[o], size[o], edge[o], edges[o]
+        at, eat = np.cumsum(size) - size, np.cumsum(edges) - edges
+        self.nodes, self.edges = int(size.sum()), int(edges.sum())
+        nodes = np.arange(self.nodes) + np.repeat(begin - at, size)
+        taken = np.arange(self.edges) + np.repeat(edge - eat, edges)
+        self.first = (self.first[nodes] - np.repeat(edge - eat, size)).astype(np.int32)
+        self.left, self.uses = self.left[nodes], self.uses[nodes] // 2
+        self.to = (self.to[taken] - np.repeat(begin - at, edges)).astype(np.int32)
+        for n in ("cum", "logp", "label"):
+            setattr(self, n, getattr(self, n)[taken])
+        self.start = dict(zip([names[i] for i in o], at.tolist()))
+
     def starts(self, chunks: list[str]) -> np.ndarray:
         if self.nodes > MAX_NODES:
-            self.__init__(self.pieces)
-        new = [c for c in dict.fromkeys(chunks) if c not in self.start]
+            self.keep_frequent()
+        out = np.fromiter(map(self.start.get, chunks, repeat(-1)), np.int64, len(chunks))
+        new = np.flatnonzero(out < 0).tolist()
         if new:
-            self.add(new)
-        return np.fromiter(map(self.start.__getitem__, chunks), np.int64, len(chunks))
+            self.add(list(dict.fromkeys(chunks[i] for i in new)))
+            out[new] = [self.start[chunks[i]] for i in new]
+        self.uses[out] += 1  # once a group of texts
+        return out
 
     def walk(self, node: np.ndarray, draw) -> tuple[np.ndarray, np.ndarray]:
         """Random edges from each node to its chunk's end: (walker, edge), walkers in order and
@@ -310,17 +355,19 @@ def sample_group(lat: Lattices, texts: list[str], row_keys: np.ndarray, k: int,
             part = slice(off[g], off[g] + size[g])
             samples[i].append((labels[part], float(total[part.stop] - total[part.start]), float(top[i])))
             v = value[part]
+            if r + 1 == k:  # nothing is walked after it: the largest value is enough
+                following[i] = max([b.value for b in branches[i]] + ([float(v.max())] if len(v) else []), default=-np.inf)
+                continue
             best = np.argpartition(-v, k)[: k + 1] if len(v) > k + 1 else np.arange(len(v))
             own = edges[part]
             branches[i] += [_Branch(float(v[j]), own[:j], (int(own[j]),), float(before[part][j])) for j in best if np.isfinite(v[j])]
+        if r + 1 == k:
+            break
         walked, going = going, []
         for i, _ in walked:
             if not branches[i]:
                 continue  # all of its segmentations are out
             b = max(branches[i], key=lambda b: b.value)
-            if r + 1 == k:
-                following[i] = b.value
-                continue
             branches[i].remove(b)
             top[i] = b.value
             draw = uniform(seeds[i], len(b.edges) + (1 << 61)), uniform(seeds[i], len(b.edges) + (3 << 61))

@@ -90,3 +90,23 @@ def test_edges(spark):
         if not text and i is not None:
             assert got[got.id == i].n_pieces.tolist() == [0]
     assert lattice.segmentations(empty_docs(spark), PATH).count() == 0
+
+
+def test_dropping_rare_words_changes_no_sample(monkeypatch):
+    texts = [f"the of and w{i} x{i % 7}y \U0001f600 of" for i in range(200)]
+    keys = np.arange(200, dtype=np.uint64)
+
+    def run(room):
+        monkeypatch.setattr(lattice, "MAX_NODES", room)
+        lat = lattice.Lattices(lattice.Pieces(PATH))
+        out = []
+        for at in range(0, 200, 10):
+            samples, following = lattice.sample_group(lat, texts[at : at + 10], keys[at : at + 10], 3, 5)
+            out += [([(e.tolist(), p) for e, p, _ in s], float(f)) for s, f in zip(samples, following)]
+        return out, lat
+
+    whole, all_words = run(1 << 30)
+    short, few_words = run(400)
+    assert short == whole
+    assert few_words.start.keys() < all_words.start.keys() and few_words.nodes < all_words.nodes
+    assert lattice.SPACE + "of" in few_words.start and lattice.SPACE + "w0" not in few_words.start
