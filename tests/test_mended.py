@@ -157,3 +157,38 @@ def test_emoji_rows_without_candidates_and_all_keys_shared(spark):
     df = spark.createDataFrame([("plain",), ("x 😀",), ("ab",)], "t string")
     assert [r[0] for r in df.select(tx.emoji_to_text("t", [("😀", "smile"), ("ab", "😀")])).collect()] == ["plain", "x <smile>", "<😀>"]
     assert not math.isnan(1.0) and F is not None
+
+
+def test_neighbour_slices_equal_a_full_sort():
+    """Ties go to the smaller id across slices, self pairs and missing distances are left out."""
+    rng = np.random.default_rng(5)
+    x = rng.integers(0, 3, (300, 3)).astype(float)
+    x[7] = np.nan
+    ids = np.arange(300) * 2
+    for metric, slices, own in (("manhattan", 32, True), ("euclidean", 300, False), ("chebyshev", 7, True)):
+        rows, dist, at = vo._nearest(x, ids, x, ids, 5, metric, slices, own)
+        diff = np.abs(x[:, None] - x[None])
+        d = {"manhattan": diff.sum(2), "euclidean": np.sqrt((diff**2).sum(2)), "chebyshev": diff.max(2)}[metric]
+        if own:
+            np.fill_diagonal(d, np.inf)
+        want = [(i, j) for i in range(300) for j in np.argsort(d[i], kind="stable")[:5].tolist() if np.isfinite(d[i, j])]
+        assert list(zip(rows.tolist(), at.tolist())) == want and np.allclose(dist, [d[i, j] for i, j in want])
+
+
+def test_blocks_do_not_multiply_with_the_rows(spark):
+    """A row is sent to as many tasks as there are blocks: few for the cores, then large ones."""
+    assert vo._spread_blocks(600_000, 2048, 24) == 37 and vo._spread_blocks(10_000, 2048, 24) == 24 and vo._spread_blocks(100, 2048, 24) == 1
+
+
+def test_products_decide_as_the_distances_do():
+    """On grids, where distances lie exactly on a limit, and with odd values."""
+    rng = np.random.default_rng(1)
+    for x in (rng.integers(0, 9, (400, 3)) * 0.25, rng.integers(0, 9, (400, 3)) * 0.05 + 1e3, rng.normal(size=(300, 64))):
+        x = x.copy()
+        d = vo._dist_matrix(x, x, "euclidean")
+        for limit in (0.05, 0.25, 0.75, 10.0):
+            assert (vo.within(x, x, "euclidean", limit) == (d <= limit)).all()
+            assert (vo.bins_of(x, x, "euclidean", limit) == np.floor(d / limit)).all()
+    x[3, 0], x[4, 1] = np.nan, np.inf
+    with np.errstate(invalid="ignore"):
+        assert (vo.within(x, x, "euclidean", 9.0) == (vo._dist_matrix(x, x, "euclidean") <= 9.0)).all()
