@@ -12,8 +12,9 @@ Bounds: of each language and order the n-grams with the highest counts are kept,
 ``MAX_GRAMS``, and the ends of kept longer ones - this is the size of the broadcast; no language
 takes room from another.  Counts, continuation counts, context totals, discounts and the
 alphabet are those of every training text, before anything is dropped; what a context loses
-goes to its back-off weight, so its probabilities still add up to 1.  Calibration reads
-about ``CALIBRATION_ROWS`` labelled rows, taken by hash.
+goes to its back-off weight, so its probabilities still add up to 1.  Calibration scores
+every training text; Spark finds each language's 0.99 quantile by exact positions and sums
+the rest, so a few numbers a language reach the driver.
 
 Defined results: a null text, or one without a letter, is ``und`` with score 0 and is
 rejected; without any labelled text every document is ``und``; a null doc_id is neither
@@ -31,10 +32,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from chorus.llm.common import cut
+from chorus.operators.ranking import position_within
 
 ORDER = 4
 MAX_GRAMS = 500_000
-CALIBRATION_ROWS = 20_000
 Z_MAX = 6.0
 SCORE_CHARS = 50  # evidence counted for the score, so that it is not simply 0 or 1
 GROUP_CHARS = 250_000
@@ -274,19 +275,25 @@ class Model:
         total = np.stack([np.bincount(doc, lp[:, k], minlength=len(texts)) for k in range(len(self.langs))], 1)
         return -total / np.maximum(n, 1)[:, None], n
 
-    def calibrate(self, lang: np.ndarray, h: np.ndarray, n: np.ndarray) -> None:
-        """Mean and spread (between texts, per character) of the cross-entropy by language."""
-        for k, name in enumerate(self.langs):
-            own = lang == name
-            if not own.any():
-                self.spread[k] = (1.0, 4.0)
-                continue
-            x, size = h[own, k], n[own]
-            ok = x <= np.quantile(x, 0.99)
-            x, size = x[ok], size[ok]
-            self.mean[k] = np.average(x, weights=size)
-            fit = np.linalg.lstsq(np.stack([np.ones(len(x)), 1 / size], 1), (x - self.mean[k]) ** 2, rcond=None)[0]
-            self.spread[k] = max(fit[0], 0.01), max(fit[1], 1.0)
+    def calibrate(self, scored: DataFrame) -> None:
+        """Mean and spread (between texts, per character) of the cross-entropy by language,
+        from (lang, h, n) of all training texts; the highest hundredth of each is left out."""
+        self.spread[:] = (1.0, 4.0)
+        size = {r["lang"]: r["k"] for r in scored.groupBy("lang").agg(F.count(F.lit(1)).alias("k")).collect()}
+        if not size:
+            return
+        at = F.create_map(*[F.lit(x) for lang, k in size.items() for x in (lang, int((k - 1) * 0.99))])
+        placed = position_within(scored, ["lang"], ["h", "n"], out="_pos")
+        upto = {r["lang"]: r["h"] for r in placed.where(F.col("_pos") == at[F.col("lang")]).collect()}
+        kept = scored.where(F.col("h") <= F.create_map(*[F.lit(x) for p in upto.items() for x in p])[F.col("lang")])
+        mean = {r["lang"]: r["m"] for r in kept.groupBy("lang").agg((F.sum(F.col("h") * F.col("n")) / F.sum("n")).alias("m")).collect()}
+        u, r = 1 / F.col("n"), (F.col("h") - F.create_map(*[F.lit(x) for p in mean.items() for x in p])[F.col("lang")]) ** 2
+        sums = kept.groupBy("lang").agg(F.count(F.lit(1)).alias("k"), *[F.sum(c).alias(f) for c, f in ((u, "u"), (u * u, "uu"), (r, "r"), (r * u, "ru"))])
+        for x in sums.collect():  # least squares of the squared deviation on 1 and 1 / n
+            i = self.langs.index(x["lang"])
+            fit = np.linalg.lstsq(np.array([[x["k"], x["u"]], [x["u"], x["uu"]]]), np.array([x["r"], x["ru"]]), rcond=None)[0]
+            self.mean[i] = mean[x["lang"]]
+            self.spread[i] = max(fit[0], 0.01), max(fit[1], 1.0)
 
     def decide(self, texts: list[str]) -> pd.DataFrame:
         """lang_pred, score, cross_entropy and rejected of each text."""
@@ -312,31 +319,28 @@ def held_out(id_col: str = "doc_id"):
 def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", order: int = ORDER) -> Model | None:
     """Model of the labelled documents that are not held out; None if there are none."""
     train = docs.where(F.col(id_col).isNotNull() & ~held_out(id_col)).where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
-    train = train.select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text"), F.col(id_col).alias("id"))
-    grams = train.select("lang", "text").mapInArrow(_count(order), "lang string, gram string, c long")
+    train = train.select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text"))
+    grams = train.mapInArrow(_count(order), "lang string, gram string, c long")
     grams = cut(grams.groupBy("lang", "gram").agg(F.sum("c").alias("c")))
     gathered = _gather(grams, order, MAX_GRAMS)
     if gathered is None:
         return None
     model = Model.of(*gathered, order)
-    # a bounded share of the labelled rows, by hash, for the spread of the cross-entropy
-    rows = train.count()
-    share = min(1.0, CALIBRATION_ROWS / max(rows, 1))
-    sample = train.where(F.pmod(F.xxhash64("id"), F.lit(1 << 20)) < int(share * (1 << 20)))
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches):
         m = shared.value
+        place = {lang: k for k, lang in enumerate(m.langs)}
         for b in batches:
             texts, lang = b.column(1).to_pylist(), b.column(0).to_pylist()
             for first, group in text_groups(texts):
                 h, n = m.entropies(group)
-                for i in np.flatnonzero(n):
-                    yield pa.RecordBatch.from_pydict({"lang": [lang[first + i]], "h": [h[i].tolist()], "n": [int(n[i])]})
+                at = np.flatnonzero(n)
+                own = [lang[first + i] for i in at]
+                cols = [pa.array(own, pa.string()), pa.array(h[at, [place[x] for x in own]], pa.float64()), pa.array(n[at], pa.int64())]
+                yield pa.RecordBatch.from_arrays(cols, names=["lang", "h", "n"])
 
-    got = sample.select("lang", "text").mapInArrow(run, "lang string, h array<double>, n long").toPandas()
-    if len(got):
-        model.calibrate(got["lang"].to_numpy(), np.stack(got["h"].to_numpy()), got["n"].to_numpy())
+    model.calibrate(cut(train.mapInArrow(run, "lang string, h double, n long")))
     return model
 
 

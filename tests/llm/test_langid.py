@@ -126,3 +126,24 @@ def test_a_small_language_beside_a_rich_one(spark, monkeypatch):
         last = np.append(doc[real][1:] != doc[real][:-1], True)
         p = np.exp(model.log_prob(sym, real)[last].astype(float)).sum(axis=0)
         assert (p < 1.0001).all() and (p > 0.9).all(), p
+
+
+def test_calibration_takes_every_training_text(spark):
+    """Mean and spread are those of all training texts, also where there are many."""
+    rng = np.random.default_rng(5)
+    n_rows = 34_000  # about 22,700 of them teach
+    words = ["mill", "river", "boat", "old", "turns", "slowly", "lies", "the"]
+    rows = [(i, " ".join(rng.choice(words, rng.integers(1, 6))), "aa" if i % 3 else "bb") for i in range(n_rows)]
+    docs = spark.createDataFrame(pd.DataFrame(rows, columns=["doc_id", "text", "lang"]))
+    model = langid.fit(docs)
+    train = [r for r in rows if zlib.crc32(str(r[0]).encode()) % 3 != 1]
+    assert len(train) > 21_000
+    h, n = model.entropies([r[1] for r in train])
+    lang = np.array([r[2] for r in train])
+    for k, name in enumerate(model.langs):
+        x, size = h[lang == name, k].astype(float), n[lang == name]
+        ok = x <= np.quantile(x, 0.99)
+        x, size = x[ok], size[ok]
+        assert np.isclose(model.mean[k], np.average(x, weights=size), rtol=1e-9)
+        want = np.linalg.lstsq(np.stack([np.ones(len(x)), 1 / size], 1), (x - model.mean[k]) ** 2, rcond=None)[0]
+        assert np.allclose(model.spread[k], (max(want[0], 0.01), max(want[1], 1.0)), rtol=1e-6)
