@@ -12,6 +12,7 @@ from chorus.operators.ranking import position_within
 from chorus.plans import fixtures as fx
 from chorus.plans.fixtures import with_ctes
 from chorus.plans.registry import query, r6
+from chorus.session import checkpoint_dir
 from chorus.sources.tables import table
 
 _LONG = "SELECT {key}, CAST(dim AS BIGINT) AS dim, round({val}, 6) AS value FROM {rel}"
@@ -172,5 +173,6 @@ def mean_word_vectors(spark, sf):
     ranked = position_within(vocab, [], [F.desc("n"), F.asc("term")], out="r")
     e = fx.vectors(spark, sf).select("vec_id", "vec")
     ranked = ranked.withColumn("_n", e.agg(F.count(F.lit(1))).scalar()).select("term", (F.col("r") % F.col("_n")).alias("vec_id"))
-    wv = ranked.join(e, "vec_id").select("term", "vec")
+    checkpoint_dir(spark)
+    wv = ranked.join(e, "vec_id").select("term", "vec").checkpoint()
     return _long(vo.mean_word_vectors(d, "doc_id", "text", wv), ["doc_id"])

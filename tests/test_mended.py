@@ -192,3 +192,30 @@ def test_products_decide_as_the_distances_do():
     x[3, 0], x[4, 1] = np.nan, np.inf
     with np.errstate(invalid="ignore"):
         assert (vo.within(x, x, "euclidean", 9.0) == (vo._dist_matrix(x, x, "euclidean") <= 9.0)).all()
+
+
+def test_word_vectors_travel_only_with_rare_words(spark, monkeypatch):
+    """Frequent words are summed where the text is read, rare ones are joined; repeated ids,
+    null texts and unknown words give what one mean over all occurrences gives."""
+    import numpy as np
+
+    from chorus.operators import vectors as vo
+
+    rng = np.random.default_rng(1)
+    words = [f"w{i:02d}" for i in range(30)]
+    rows = [(i % 70, " ".join(rng.choice([*words, "zz"], rng.integers(0, 25)))) for i in range(90)] + [(500, None), (501, "zz zz")]
+    vecs = {w: rng.normal(size=4) for w in words}
+    d = spark.createDataFrame(rows, "id long, t string")
+    wv = spark.createDataFrame([(w, v.tolist()) for w, v in vecs.items()], "term string, vec array<double>")
+    want = {}
+    for i, t in rows:
+        want.setdefault(i, []).extend(vecs[w] for w in (t or "").split() if w in vecs)
+    want = {i: np.mean(v, axis=0) for i, v in want.items() if v}
+    for often in (5, 30, 1000):
+        monkeypatch.setattr(vo, "OFTEN", often)
+        found = vo.mean_word_vectors(d, "id", "t", wv)
+        got = {r["id"]: r["vec"] for r in found.collect()}
+        assert got.keys() == want.keys()
+        assert all(np.allclose(got[i], want[i]) for i in want)
+        plan = found._jdf.queryExecution().optimizedPlan().toString()
+        assert ("Join" in plan) == (often <= 30)
