@@ -9,8 +9,12 @@ can be broadcast.
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterable, Sequence
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -141,6 +145,10 @@ def remove_stopwords(df: DataFrame, text: str, stop_words: Iterable[str], out: s
 
 # --- J11 / T16 --------------------------------------------------------------
 _TOKEN_RE = r"(?U)(\s*)(\w+|[^\w\s])"
+_PARTS_RE = r"(?U)(\s*)(?:(\w+)|([^\w\s]))"
+_WORD_RE = r"(?U)\w+"
+_OPEN = pa.struct([("form", pa.string()), ("token", pa.string()), ("sep", pa.string())])
+OFTEN = 65536  # most frequent forms whose dictionary entries every task holds
 
 
 def tagged_tokens(df: DataFrame, id_col: str, text: str) -> DataFrame:
@@ -168,22 +176,121 @@ def lemmatize_by_dictionary(df: DataFrame, id_col: str, text: str, dictionary: D
     tagged ``interp``; unknown words keep their form with tag ``ign``.  Tokens are
     filtered by ``tagset`` / ``keep_interp`` and joined back in order with their
     separators (a newline in the first sentence is dropped).
+
+    The entries of the ``OFTEN`` most frequent forms go to every task, which rebuilds texts where
+    it reads them.  Only forms beyond them are joined, and only the texts that hold one wait for
+    it; no frequent form is a join key.  Texts whose id occurs more than once are one text.
     """
-    toks = tagged_tokens(df, id_col, text)
+    checkpoint_dir(df.sparkSession)
+    texts = df.select(F.col(id_col).alias("_id"), F.col(text).alias("_text"))
+    again = texts.groupBy("_id").agg(F.count(F.lit(1)).alias("_n")).where("_n > 1 AND _id IS NOT NULL").select("_id").checkpoint()
+    if again.isEmpty():
+        done = _rebuilt(texts, dictionary, tagset, keep_interp)
+    else:
+        once = _rebuilt(texts.join(again, "_id", "left_anti"), dictionary, tagset, keep_interp)
+        whole = _rebuilt_by_token(texts.join(again, "_id", "left_semi"), dictionary, tagset, keep_interp)
+        done = once.unionByName(whole)
+    return done.select(F.col("_id").alias(id_col), F.when(F.col("_id").isNull(), "").otherwise(F.coalesce("_out", F.lit(""))).alias(out))
+
+
+def _rebuilt(texts: DataFrame, dictionary: DataFrame, tagset: str, keep_interp: bool) -> DataFrame:
+    """(_id, _out) of texts whose ids occur once."""
+    full = dictionary.select("form", "lemma", F.col("pos").alias("tag"))
+    words = F.transform(F.regexp_extract_all("_text", F.lit(_WORD_RE), 0), lambda w: F.lower(w))
+    often = texts.select(F.explode(words).alias("form")).groupBy("form").agg(F.count(F.lit(1)).alias("_n"))
+    often = often.orderBy(F.desc("_n"), "form").limit(OFTEN).checkpoint()
+    entries = often.join(full, "form", "left").select("form", "lemma", F.coalesce("tag", F.lit("ign")).alias("tag"))
+    entries = entries.withColumn("keep", tx.keep_tagged_token(F.col("tag"), tagset, keep_interp)).collect()
+    times = Counter(r["form"] for r in entries)
+    table = [r for r in entries if times[r["form"]] == 1] or [{"form": "", "lemma": None, "keep": False}]
+    shared = texts.sparkSession.sparkContext.broadcast((
+        pa.array([r["form"] for r in table], pa.string()), pa.array([r["lemma"] for r in table], pa.string()),
+        np.array([r["keep"] for r in table], bool), keep_interp,
+    ))
+    get = lambda k: F.regexp_extract_all("_text", F.lit(_PARTS_RE), k)
+    parts = texts.select("_id", get(1).alias("s"), get(2).alias("w"), get(3).alias("p")).withColumn("f", F.transform("w", lambda w: F.lower(w)))
+    id_type = dict(parts.dtypes)["_id"]
+    parts = parts.mapInArrow(_rebuild(shared), f"_id {id_type}, _out string, _between array<string>, _open array<struct<form: string, token: string, sep: string>>")
+    if len(times) == len(entries) < OFTEN:  # every form of the texts is there, with one entry
+        return parts.select("_id", "_out")
+    parts = parts.withColumn("_row", F.monotonically_increasing_id()).checkpoint()
+    tokens = parts.where("_out IS NULL").select("_row", F.posexplode("_open").alias("_i", "z")).select("_row", "_i", "z.form", "z.token", "z.sep")
+    j = tokens.join(full, "form", "left")
+    kept = j.where(tx.keep_tagged_token(F.coalesce("tag", F.lit("ign")), tagset, keep_interp))
+    kept = kept.select("_row", F.struct("_i", F.concat("sep", F.coalesce("lemma", "token")).alias("p")).alias("z"))
+    found = kept.groupBy("_row").agg(F.array_sort(F.collect_list("z")).alias("_z"))
+    waiting = parts.where("_out IS NULL").select("_id", "_row", "_between").join(found, "_row", "left")
+    # what stands before the i-th open token sorts before its pieces, the rest last
+    before = F.transform("_between", lambda b, i: F.struct(i.alias("_i"), F.lit(0).alias("_k"), b.alias("p")))
+    after = F.transform(F.coalesce("_z", F.array()), lambda z: F.struct(z["_i"].alias("_i"), F.lit(1).alias("_k"), z["p"].alias("p")))
+    joined = F.array_join(F.transform(F.array_sort(F.concat(before, after)), lambda z: z["p"]), "")
+    return parts.where("_out IS NOT NULL").select("_id", "_out").unionByName(waiting.select("_id", joined.alias("_out")))
+
+
+def _rebuild(shared):
+    """Per text: rebuilt, or the texts between tokens whose form is not in the table, and these."""
+
+    def run(batches):
+        forms, lemmas, keeps, keep_interp = shared.value
+        for b in batches:
+            size = pc.fill_null(pc.list_value_length(b.column(2)), 0).to_numpy()
+            sep, word, mark, form = (b.column(i).flatten() for i in range(1, 5))
+            first = np.cumsum(size) - size  # of each text's tokens
+            is_word = _flags(pc.not_equal(word, ""))
+            ends = np.concatenate([[0], np.cumsum(_flags(pc.is_in(mark, value_set=pa.array([".", "!", "?"]))))])
+            later = ends[:-1] > np.repeat(ends[first], size)  # beyond the first sentence
+            line = _flags(pc.match_substring(sep, "\n"))
+            code = np.where(_flags(pc.equal(sep, "")) | (line & ~later), 0, np.where(line, 1, 2))
+            gap = pa.array(["", "\n", " "]).take(pa.array(code))
+            at = pc.index_in(form, value_set=forms)
+            known = _flags(pc.is_valid(at))
+            is_open = is_word & ~known
+            keep = np.where(is_word, known & keeps[pc.fill_null(at, 0).to_numpy()], keep_interp)
+            core = pc.if_else(pa.array(is_word), pc.coalesce(lemmas.take(at), word), mark)
+            piece = pc.if_else(pa.array(keep), pc.binary_join_element_wise(gap, core, ""), "")
+            # runs of pieces: a text's first one, and one after each open token
+            opens = np.diff(np.concatenate([[0], np.cumsum(is_open)])[np.append(first, size.sum())])
+            starts = np.sort(np.concatenate([first, np.flatnonzero(is_open) + 1, [size.sum()]]), kind="stable")
+            runs = pc.binary_join(pa.ListArray.from_arrays(starts.astype(np.int32), piece), "")
+            waits = opens > 0
+            lead = np.cumsum(opens + 1) - (opens + 1)
+            out = pc.if_else(pa.array(waits), pa.scalar(None, pa.string()), runs.take(pa.array(lead)))
+            between = runs.filter(pa.array(np.repeat(waits, opens + 1)))
+            held = pa.array(is_open)
+            open_ = pa.StructArray.from_arrays([x.filter(held) for x in (form, word, gap)], fields=list(_OPEN))
+            yield pa.RecordBatch.from_arrays(
+                [b.column(0), out, pa.ListArray.from_arrays(_offsets(np.where(waits, opens + 1, 0)), between), pa.ListArray.from_arrays(_offsets(opens), open_)],
+                names=["_id", "_out", "_between", "_open"],
+            )
+
+    return run
+
+
+def _flags(x: pa.Array) -> np.ndarray:
+    return x.to_numpy(zero_copy_only=False).astype(bool)
+
+
+def _offsets(size: np.ndarray) -> np.ndarray:
+    return np.concatenate([[0], np.cumsum(size)]).astype(np.int32)
+
+
+def _rebuilt_by_token(texts: DataFrame, dictionary: DataFrame, tagset: str, keep_interp: bool) -> DataFrame:
+    """(_id, _out) by a row per token, for ids that occur more than once: the tokens of their texts
+    are merged by place."""
+    toks = tagged_tokens(texts, "_id", "_text")
     is_word = F.col("token").rlike(r"(?U)^\w+$")
     toks = toks.withColumn("form", F.lower("token"))
     dic = dictionary.select(F.col("form"), F.col("lemma"), F.col("pos").alias("tag"))
     j = toks.join(dic, "form", "left")
     tag = F.when(~is_word, F.lit("interp")).otherwise(F.coalesce(F.col("tag"), F.lit("ign")))
     lemma = F.when(~is_word, F.col("token")).otherwise(F.coalesce(F.col("lemma"), F.col("token")))
-    j = j.select(id_col, "pos", "sep", "sentence", tag.alias("tag"), lemma.alias("lemma"))
+    j = j.select("_id", "pos", "sep", "sentence", tag.alias("tag"), lemma.alias("lemma"))
     kept = j.filter(tx.keep_tagged_token(F.col("tag"), tagset, keep_interp))
     piece = F.concat(tx.separator_text(F.col("sep"), F.col("sentence")), F.col("lemma"))
-    rebuilt = kept.groupBy(id_col).agg(
-        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", piece.alias("p")))), lambda s: s["p"]), "").alias(out)
+    rebuilt = kept.groupBy("_id").agg(
+        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", piece.alias("p")))), lambda s: s["p"]), "").alias("_out")
     )
-    # texts where nothing is kept still produce an (empty) row
-    return df.select(id_col).join(rebuilt, id_col, "left").select(id_col, F.coalesce(F.col(out), F.lit("")).alias(out))
+    return texts.select("_id").join(rebuilt, "_id", "left")
 
 
 def lemma_dictionary_from_corpus(df: DataFrame, text: str) -> DataFrame:

@@ -219,3 +219,30 @@ def test_word_vectors_travel_only_with_rare_words(spark, monkeypatch):
         assert all(np.allclose(got[i], want[i]) for i in want)
         plan = found._jdf.queryExecution().optimizedPlan().toString()
         assert ("Join" in plan) == (often <= 30)
+
+
+def test_no_row_per_token_in_the_lemma_rebuild(spark, monkeypatch):
+    """Texts are rebuilt where they are read; forms beyond the frequent ones are joined, repeated
+    ids merge as before, and a frequent form is no join key."""
+    import numpy as np
+
+    from chorus.operators import corpus
+
+    rng = np.random.default_rng(2)
+    words = [f"W{i:02d}" for i in range(25)]
+    marks = [" ", " ", "\n", ". ", "!\n", ", ", "? ", "", "\t"]
+    texts = ["".join(w + m for w, m in zip(rng.choice(words, n), rng.choice(marks, n))) for n in rng.integers(0, 30, 60)]
+    rows = [(i, t) for i, t in enumerate(texts)] + [(7, "W01 again.\nW02"), (None, "W03"), (None, "W04 x"), (99, None), (98, "")]
+    d = spark.createDataFrame(rows, "id long, t string")
+    dic = [(w.lower(), f"l{w}" if i % 5 else None, ["subst", "fin", None, "ger"][i % 4]) for i, w in enumerate(words[:20])]
+    dic = spark.createDataFrame([*dic, ("w01", "second", "ger")], "form string, lemma string, pos string")
+    for tagset, interp in (("full", True), ("noun", False), ("noun", True)):
+        t = d.selectExpr("id AS _id", "t AS _text")
+        slow = corpus._rebuilt_by_token(t, dic, tagset, interp).collect()
+        want = sorted((str(r["_id"]), (r["_out"] or "") if r["_id"] is not None else "") for r in slow)
+        for often in (4, 10_000):
+            monkeypatch.setattr(corpus, "OFTEN", often)
+            found = corpus.lemmatize_by_dictionary(d, "id", "t", dic, tagset, interp)
+            assert sorted((str(r["id"]), r["lemmatized"]) for r in found.collect()) == want
+        plan = corpus._rebuilt(t.where("_id > 7"), dic.where("lemma IS NULL OR lemma <> 'second'"), tagset, interp)._jdf.queryExecution().optimizedPlan().toString()
+        assert "Join" not in plan and "Aggregate" not in plan
