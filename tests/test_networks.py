@@ -91,3 +91,24 @@ def test_many_parts_learn_and_feed_early_stopping(spark):
     model = nw.fit(dealt, nets["hidden"])
     pred = nw.predict(model, df, "id", "vec").join(df, "id")
     assert pred.where("pred = label").count() > 0.8 * 900
+
+
+def test_the_driver_reads_one_row_an_epoch(spark, monkeypatch):
+    """Parts are added on the executors, in their order, until one row is left."""
+    states = [np.random.default_rng(i).normal(size=5) for i in range(40)]
+    data = [(i, 1.0 + i, 0.5, *(s.tobytes() for s in (states[i][:2], states[i][:2], states[i]))) for i in range(40)]
+    frame = type(spark.range(1))
+    sizes, collect = [], frame.collect
+
+    def counted(self):
+        got = collect(self)
+        sizes.append(len(got))
+        return got
+
+    monkeypatch.setattr(frame, "collect", counted)
+    for parts in (1, 7, 40):
+        rows = spark.createDataFrame(data[:parts], nw._PART).repartition(3)
+        draws, loss, train, val, state = nw._combined(rows, parts)
+        assert draws == sum(range(1, parts + 1)) and loss == 0.5 * parts
+        assert np.allclose(state, np.sum(states[:parts], axis=0)) and np.allclose(train, val)
+    assert sizes == [1, 1, 1]
