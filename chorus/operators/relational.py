@@ -1,6 +1,6 @@
 """Projections, filters, joins and set operations.
 
-No join is forced to broadcast: adaptive execution knows the bytes of a finished side and
+No join is forced to broadcast but that of ``min_activity`` with a counted short list: adaptive execution knows the bytes of a finished side and
 converts the join when they are below ``spark.sql.autoBroadcastJoinThreshold``.  Anti joins are ``left_anti`` (null keys of the left side
 are kept, as pandas ``~isin`` keeps them), never ``NOT IN``.
 """
@@ -12,6 +12,10 @@ from collections.abc import Iterable, Mapping, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from chorus.session import checkpoint_dir
+
+FEW_KEYS = 100_000  # keys that a task may hold
+
 
 # --- P1 / P2 / P3 ------------------------------------------------------------
 def project_rename(df: DataFrame, keep: Sequence[str], rename: Mapping[str, str] | None = None, constants: Mapping[str, object] | None = None) -> DataFrame:
@@ -54,11 +58,14 @@ def min_activity(df: DataFrame, key: str, id_col: str, min_count: int) -> DataFr
     """Drop every row of keys with fewer than ``min_count`` non-null ids; null keys stay.
 
     The per-key counts are a partial (map-side) aggregation; the drop list is applied
-    with a left anti join so that null keys survive.
+    with a left anti join so that null keys survive.  Up to ``FEW_KEYS`` keys the list goes to every
+    task, so that the rows stay where they are: dealt by key, the rows of a hot one are one task.
     """
     counts = df.groupBy(key).agg(F.count(id_col).alias("_n"))
     drop = counts.filter((F.col("_n") < min_count) & F.col(key).isNotNull()).select(key)
-    return df.join(drop, on=key, how="left_anti")
+    checkpoint_dir(df.sparkSession)
+    drop = drop.checkpoint()
+    return df.join(F.broadcast(drop) if drop.count() <= FEW_KEYS else drop, on=key, how="left_anti")
 
 
 # --- P9 ----------------------------------------------------------------------

@@ -12,6 +12,7 @@ from chorus.operators import relational as rel
 from chorus.plans import fixtures as fx
 from chorus.plans.fixtures import sql_clean, sql_tokens, with_ctes
 from chorus.plans.registry import query, r6
+from chorus.session import checkpoint_dir
 from chorus.sources.tables import table
 
 _STOP_SQL = "(" + ", ".join(f"'{w}'" for w in fx.STOP_WORDS) + ")"
@@ -309,7 +310,8 @@ def flagship(spark, sf):
     """posts -> clean -> length >= 10 -> minimum activity -> accounts -> tokens -> vocabulary
     (top 1000, df >= 2, stop words out) -> dense counts per user, party and coalition."""
     p = tx.with_clean(fx.posts(spark, sf).select("id", "username", "tweet"), "tweet", "t").select("id", "username", "t")
-    p = p.filter(tx.text_length("t") >= 10)
+    checkpoint_dir(spark)
+    p = p.filter(tx.text_length("t") >= 10).checkpoint()  # read twice: activity and terms
     p = rel.min_activity(p, "username", "id", 5)
     acc = fx.accounts(spark, sf).select(F.lower("username").alias("username"), "party", "coalition")
     p = p.withColumn("username", F.lower("username"))

@@ -246,3 +246,20 @@ def test_no_row_per_token_in_the_lemma_rebuild(spark, monkeypatch):
             assert sorted((str(r["id"]), r["lemmatized"]) for r in found.collect()) == want
         plan = corpus._rebuilt(t.where("_id > 7"), dic.where("lemma IS NULL OR lemma <> 'second'"), tagset, interp)._jdf.queryExecution().optimizedPlan().toString()
         assert "Join" not in plan and "Aggregate" not in plan
+
+
+def test_the_activity_filter_leaves_rows_in_place(spark, monkeypatch):
+    """Rows are not dealt by a hot key for a short list of dropped ones; a long list is joined."""
+    from chorus.operators import relational as rel
+
+    rows = [(i, "hot" if i < 80 else f"k{i // 3}") for i in range(100)] + [(200, None), (None, "k33")]
+    d = spark.createDataFrame(rows, "id long, key string").repartition(5)
+    names = [k for _, k in rows]
+    count = {k: sum(i is not None for i, x in rows if x == k) for k in set(names)}
+    want = sorted(map(str, [r for r in rows if r[1] is None or count[r[1]] >= 3]))
+    for few in (100_000, 1):
+        monkeypatch.setattr(rel, "FEW_KEYS", few)
+        out = rel.min_activity(d, "key", "id", 3)
+        assert sorted(str((r["id"], r["key"])) for r in out.collect()) == want
+        plan = out._jdf.queryExecution().optimizedPlan().toString()
+        assert ("broadcast" in plan) == (few > 1)
