@@ -9,8 +9,10 @@ its k-th neighbour is expected to have, plus ``DEVIATIONS`` deviations.
 Search: a code is 32 substrings of a byte.  With radius r = 32 a + b, a code within r is
 within a of the query in one of the first b + 1 substrings or within a - 1 in one of the
 others (pigeonhole), so probing these buckets of all 32 substring indexes retrieves every code
-within r.  Codes beyond r are dropped by full distance and the rest is ranked by the double
-product of the original vectors.  A query with fewer than k results is searched again without
+within r.  The rows within n bits of a byte value are a bitmap, made from those within n - 1, so a probe
+of a substring is one OR.  Codes beyond r are dropped by full distance and the rest is ranked by
+the double product of the original vectors (of a whole block by one matrix product: the radius
+of vectors without near neighbours lets most buckets through).  A query with fewer than k results is searched again without
 a bound, so a short list means that there are no more candidates.
 
 The table is dealt into blocks of ``BLOCK`` vectors, each indexed in memory, the query set into
@@ -35,8 +37,8 @@ BITS = 256
 PARTS = BITS // 8
 SAMPLE = 4096
 BLOCK, CHUNK = 8192, 2048
+PAIRS = 1 << 16  # pairs that are compared one by one at a time
 DEVIATIONS = 2.0
-_DISTANCE = np.bitwise_count(np.arange(256, dtype=np.uint8)[:, None] ^ np.arange(256, dtype=np.uint8)[None, :])
 
 
 def usable(df: DataFrame, id_col: str, vec_col: str) -> DataFrame:
@@ -115,46 +117,70 @@ class Codes:
 def hamming(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     a, b = np.ascontiguousarray(a).view(np.uint64), np.ascontiguousarray(b).view(np.uint64)
     out = np.zeros((len(a), len(b)), np.uint16)
-    for k in range(a.shape[1]):
-        out += np.bitwise_count(a[:, k][:, None] ^ b[:, k][None, :])
+    words = np.ascontiguousarray(b.T)
+    for at in range(0, len(a), 16):  # few rows at a time stay in the processor's cache
+        for k, word in enumerate(words):
+            out[at : at + 16] += np.bitwise_count(a[at : at + 16, k, None] ^ word)
     return out
 
 
 class SubstringIndex:
-    """The 32 substring indexes of one block: rows sorted by byte, and where each starts."""
+    """The 32 substring indexes of one block: for each byte value, the rows that have it as a bitmap;
+    ``ball(n)`` has the rows whose byte is within n bits of a value, made from ``ball(n - 1)``."""
 
     def __init__(self, code: np.ndarray):
         self.code = code
-        self.rows = [np.argsort(code[:, t], kind="stable") for t in range(PARTS)]
-        self.start = [np.concatenate([[0], np.cumsum(np.bincount(code[:, t], minlength=256))]) for t in range(PARTS)]
+        here = np.zeros((PARTS, 256, -(-len(code) // 64) * 8), np.uint8)
+        row = np.arange(len(code))
+        for t in range(PARTS):
+            np.bitwise_or.at(here[t], (code[:, t], row >> 3), (128 >> (row & 7)).astype(np.uint8))
+        self.balls = [here.view(np.uint64)]
+
+    def ball(self, reach: int) -> np.ndarray:
+        while len(self.balls) <= reach:
+            last = self.balls[-1]
+            more, values = last.copy(), np.arange(256)
+            for bit in range(8):
+                more |= last[:, values ^ (1 << bit)]
+            self.balls.append(more)
+        return self.balls[reach]
+
+    def retrieved(self, code: np.ndarray, radius: np.ndarray) -> np.ndarray:
+        """(queries, rows) mask of the rows in the probed buckets."""
+        seen = np.zeros((len(code), self.balls[0].shape[2]), np.uint64)
+        a, b = np.minimum(radius, BITS) // PARTS, np.minimum(radius, BITS) % PARTS
+        for t in range(PARTS):
+            reach = np.where(t <= b, a, a - 1)
+            for r in np.unique(reach[reach >= 0]):
+                some = np.flatnonzero(reach == r)
+                seen[some] |= self.ball(int(r))[t, code[some, t]]
+        return np.unpackbits(seen.view(np.uint8), axis=1, count=len(self.code)).view(bool)
 
     def within(self, code: np.ndarray, radius: np.ndarray) -> np.ndarray:
         """(queries, rows) mask of the codes within each query's radius."""
-        seen = np.zeros((len(code), len(self.code)), bool)
-        a, b = radius // PARTS, radius % PARTS
-        for t in range(PARTS):
-            reach = np.where(t <= b, a, a - 1)
-            for value, r in np.unique(np.stack([code[:, t].astype(int), reach], 1), axis=0):
-                if r < 0:
-                    continue
-                near = np.flatnonzero(_DISTANCE[value] <= r)
-                lo, hi = self.start[t][near], self.start[t][near + 1]
-                found = np.concatenate([self.rows[t][x:y] for x, y in zip(lo, hi) if y > x] or [np.empty(0, int)])
-                seen[np.ix_((code[:, t] == value) & (reach == r), found)] = True
-        return seen & (hamming(code, self.code) <= radius[:, None])
+        seen = self.retrieved(code, radius)
+        if 8 * np.count_nonzero(seen) > seen.size:
+            return seen & (hamming(code, self.code) <= radius[:, None])
+        who, row = np.nonzero(seen)
+        for at in range(0, len(who), PAIRS):
+            i, j = who[at : at + PAIRS], row[at : at + PAIRS]
+            seen[i, j] = np.bitwise_count(code[i].view(np.uint64) ^ self.code[j].view(np.uint64)).sum(1, dtype=int) <= radius[i]
+        return seen
 
 
 def best(q: np.ndarray, q_ids: np.ndarray, v: np.ndarray, ids: np.ndarray, mask: np.ndarray, k: int):
-    """(query, row, score) of the k largest products a query, ties to the smaller id."""
+    """(queries, rows, scores) of the k largest products a query, ties to the smaller id."""
     mask = mask & (q_ids[:, None] != ids[None, :])
-    rough = np.where(mask, q @ v.T, -np.inf)
-    for i in np.flatnonzero(mask.any(1)):
-        n = min(k, int(mask[i].sum()))
-        least = -np.partition(-rough[i], n - 1)[n - 1]
-        near = np.flatnonzero(rough[i] >= least - 1e-9 * max(1.0, abs(least)))
-        score = (v[near] * q[i]).sum(1)  # the same order of sums wherever a vector stands
-        for j in np.lexsort((ids[near], -score))[:k]:
-            yield i, near[j], score[j]
+    far = np.where(mask, -q @ v.T, np.inf)
+    last = min(k, len(v)) - 1
+    least = np.partition(far, last, axis=1)[:, last]  # infinite: fewer than k, all are taken
+    who, row = np.divmod(np.flatnonzero(mask & (far <= (least + 1e-9 * np.maximum(1.0, np.abs(least)))[:, None])), len(v))
+    # the same order of sums wherever a vector stands
+    score = np.concatenate([np.empty(0), *((v[row[x : x + PAIRS]] * q[who[x : x + PAIRS]]).sum(1) for x in range(0, len(who), PAIRS))])
+    o = np.lexsort((ids[row], -score, who))
+    who, row, score = who[o], row[o], score[o]
+    top = np.arange(len(who)) - np.searchsorted(who, who) < k
+    return who[top], row[top], score[top]
 
 
 _OUT = pa.schema([("query_id", pa.int64()), ("vec_id", pa.int64()), ("score", pa.float64())])
@@ -182,14 +208,15 @@ def search(table: DataFrame, queries: DataFrame, k: int = 20, id_col: str = "vec
                 return _OUT.empty_table()
             c, v, ids = codes.value, matrix(left.column("v")), left.column("id").to_numpy()
             index = SubstringIndex(c.encode(v))
-            out: list[tuple] = []
+            out: list[pa.Table] = []
             qv, qi = matrix(right.column("v")), right.column("id").to_numpy()
             for at in range(0, len(qi), 256):
                 q, i = qv[at : at + 256], qi[at : at + 256]
                 r = c.radius(q, i) if bounded else np.full(len(q), BITS)
                 mask = index.within(c.encode_queries(q), r)
-                out += [(int(i[a]), int(ids[b]), float(s)) for a, b, s in best(q, i, v, ids, mask, k)]
-            return pa.Table.from_arrays([pa.array(x, t) for x, t in zip(zip(*out), _OUT.types)], schema=_OUT) if out else _OUT.empty_table()
+                a, b, score = best(q, i, v, ids, mask, k)
+                out.append(pa.Table.from_arrays([pa.array(x) for x in (i[a], ids[b], score)], schema=_OUT))
+            return pa.concat_tables(out)
 
         return task
 

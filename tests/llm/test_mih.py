@@ -1,3 +1,5 @@
+import time
+
 import numpy as np
 import pytest
 from common_llm import SF
@@ -61,3 +63,40 @@ def test_edges(spark):
     assert mih.search(few, few, 20).count() == 6
     empty = spark.createDataFrame([], df.schema)
     assert mih.search(empty, empty, 20).count() == 0 and mih.search(df, empty, 20).count() == 0
+
+
+def test_sparse_and_dense_buckets_retrieve_the_same():
+    rng = np.random.default_rng(3)
+    base = rng.integers(0, 256, (1003, mih.PARTS), dtype=np.uint8)
+    near = base.copy()
+    near[:, 5] ^= 1 << rng.integers(0, 8, 1003).astype(np.uint8)
+    index = mih.SubstringIndex(near)
+    radius = rng.integers(0, 2, 1003)
+    assert 8 * np.count_nonzero(index.retrieved(base, radius)) < 1003 * 1003  # pairs are compared one by one
+    assert (index.within(base, radius) == (mih.hamming(base, near) <= radius[:, None])).all()
+    radius = rng.integers(0, 300, 1003)
+    assert (index.within(base, radius) == (mih.hamming(base, near) <= radius[:, None])).all()
+
+
+def test_copies_are_ranked_by_id():
+    x = np.ones((mih.BLOCK, 4))
+    ids = np.random.default_rng(4).permutation(len(x)).astype(np.int64)
+    who, row, score = mih.best(x[:40], ids[:40], x, ids, np.ones((40, len(x)), bool), 20)
+    for i in range(40):
+        assert list(ids[row[who == i]]) == [j for j in range(21) if j != ids[i]][:20]
+    assert (score == 4).all()
+
+
+def test_probing_costs_less_than_a_few_passes_over_the_codes():
+    rng = np.random.default_rng(5)
+    code = rng.integers(0, 256, (mih.BLOCK, mih.PARTS), dtype=np.uint8)
+    index, asked, radius = mih.SubstringIndex(code), code[:256].copy(), np.full(256, 112)
+    index.within(asked, radius)  # the balls are made once a block
+
+    def cpu(f):
+        began = time.process_time()
+        f()
+        return time.process_time() - began
+
+    passes = min(cpu(lambda: mih.hamming(asked, code)) for _ in range(3))
+    assert min(cpu(lambda: index.within(asked, radius)) for _ in range(3)) < 8 * passes
