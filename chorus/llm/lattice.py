@@ -12,7 +12,8 @@ k-th gives each sample's inclusion score, log(1 - exp(-exp(log p - next))).
 
 No piece crosses from a non-space into a space, so the lattice is a chain of word lattices.
 Those of distinct words are built once per worker; beyond ``MAX_NODES`` those of rare
-words go and the frequent ones stay.  Whole groups of texts are walked together, one choice of every word at a time.  Random numbers are hashes of (seed, row key,
+words go and the frequent ones stay.  Whole groups of texts are walked together, one choice of every word at a time.
+What is left aside is valued only as far into a text as it can be among the best.  Random numbers are hashes of (seed, row key,
 sample, place): a row gives the same samples wherever it is computed.
 
 Defined results: a null or empty text has one segmentation without pieces; a text with fewer
@@ -45,26 +46,37 @@ _GOLD = np.uint64(0xBF58476D1CE4E5B9)
 _GOLD2 = np.uint64(0x94D049BB133111EB)
 
 
-def mixed(*parts) -> np.ndarray:
-    """64-bit hashes of the given integers (splitmix64)."""
-    x = np.uint64(0)
+def mixed(*parts, start=np.uint64(0)) -> np.ndarray:
+    """64-bit hashes of the given integers (splitmix64), going on from the hash of those before."""
+    x = start
     with np.errstate(over="ignore"):
         for p in parts:
-            x = (x ^ np.asarray(p).astype(np.uint64)) * _P + np.uint64(0x632BE59BD9B4E019)
-            x = (x ^ (x >> np.uint64(30))) * _GOLD
-            x = (x ^ (x >> np.uint64(27))) * _GOLD2
-            x = x ^ (x >> np.uint64(31))
+            x = (x ^ np.asarray(p).astype(np.uint64)) * _P
+            x += np.uint64(0x632BE59BD9B4E019)
+            x ^= x >> np.uint64(30)
+            x *= _GOLD
+            x ^= x >> np.uint64(27)
+            x *= _GOLD2
+            x ^= x >> np.uint64(31)
     return x
 
 
-def uniform(*parts) -> np.ndarray:
+def uniform(*parts, start=np.uint64(0)) -> np.ndarray:
     """Numbers in (0, 1) that depend on the given integers only."""
-    return ((mixed(*parts) >> np.uint64(11)).astype(float) + 0.5) * 2.0**-53
+    out = (mixed(*parts, start=start) >> np.uint64(11)).astype(float)
+    out += 0.5
+    out *= 2.0**-53
+    return out
 
 
 def below(mean, top, u):
     """Gumbel values of location ``mean``, truncated at ``top``."""
-    return -np.logaddexp(-top, np.log(-np.log(u)) - mean)
+    return truncated(np.log(-np.log(u)) - mean, top)
+
+
+def truncated(exponent, top):
+    """Gumbel values from their exponents: the smaller the exponent, the larger the value."""
+    return -np.logaddexp(-top, exponent)
 
 
 class Pieces:
@@ -96,6 +108,7 @@ class Pieces:
             self.raw[i] = p.replace(SPACE, " ").encode()
         for k, i in byte.items():
             self.raw[i] = bytes([k])
+        self.raw = np.array([*self.raw, None], object)[:-1]
         self.by_length: dict[int, tuple[np.ndarray, np.ndarray]] = {}
         self.seen = np.zeros(1 << 22, bool)  # leading bits of the pieces' hashes
         for length in sorted({len(p) for p, _ in plain}):
@@ -120,9 +133,9 @@ class Pieces:
             last = i + 1
         return np.concatenate([*out, edges[last:]])
 
-    def decode(self, ids: list[int]) -> str:
+    def decode(self, ids: np.ndarray) -> str:
         """Text of piece ids; the space put before the text is dropped."""
-        return b"".join(map(self.raw.__getitem__, ids)).decode("utf-8", "surrogatepass")[1:]
+        return b"".join(self.raw[ids].tolist()).decode("utf-8", "surrogatepass")[1:]
 
 
 class Lattices:
@@ -145,7 +158,9 @@ class Lattices:
         for n in names:
             a = getattr(self, n)
             if need > len(a):
-                setattr(self, n, np.concatenate([a, np.zeros(max(need, 2 * len(a)) - len(a), a.dtype)]))
+                more = np.zeros(max(need, 2 * len(a)), a.dtype)  # what is not written takes no memory yet
+                more[: len(a)] = a
+                setattr(self, n, more)
 
     def add(self, chunks: list[str]) -> None:
         size = np.array([len(c) for c in chunks])
@@ -153,8 +168,8 @@ class Lattices:
         # characters left in the chunk, from each character on
         left = np.repeat(np.cumsum(size), size) - np.arange(len(cp))
         wide = min(max(self.pieces.by_length, default=1), int(left.max()))
-        # edges as (place, characters, score, label), length by length
-        src, step, score, label = [], [], [], []
+        # (places, characters, scores, labels) of edges, length by length
+        found = []
         bare = np.ones(len(cp), bool)  # characters without a piece of their own
         start, h = np.arange(len(cp)), np.zeros(len(cp), np.uint64)
         for n in range(1, wide + 1):
@@ -170,44 +185,46 @@ class Lattices:
             k = np.searchsorted(known, want)
             k[k == len(known)] = 0
             hit = known[k] == want
-            at, found = at[hit], ids[k[hit]]
+            at, piece = at[hit], ids[k[hit]]
             if n == 1:
                 bare[at] = False
-            src.append(at), step.append(np.full(len(at), n)), score.append(self.pieces.score[found]), label.append(found)
+            found.append((at, n, self.pieces.score[piece], piece))
+        found.reverse()
         rest = np.flatnonzero(bare)
         if len(rest):
             code = cp[rest].astype(np.int64)
-            src.append(rest), step.append(np.ones(len(rest), np.int64))
-            score.append(self.pieces.byte_score * (1 + (code > 0x7F) + (code > 0x7FF) + (code > 0xFFFF)))
-            label.append(np.where(code < 128, self.pieces.byte[np.minimum(code, 127)], code + self.pieces.size))
-        src, step, score, label = (np.concatenate(x) for x in (src, step, score, label))
-        # by distance to the chunk's end, then place, the longest first
-        far = left[src]
-        o = np.argsort((far * len(cp) + src) * (wide + 1) - step)
-        far, src, step, score = far[o], src[o], step[o], score[o]
+            weight = self.pieces.byte_score * (1 + (code > 0x7F) + (code > 0x7FF) + (code > 0xFFFF))
+            found.append((rest, 1, weight, np.where(code < 128, self.pieces.byte[np.minimum(code, 127)], code + self.pieces.size)))
+        # place by place, the longest first: a length has one edge at most at a place
+        count = np.zeros(len(cp), np.int64)
+        for at, *_ in found:
+            count[at] += 1
+        heads = np.cumsum(count) - count
+        src, free = np.repeat(np.arange(len(cp)), count), heads.copy()
+        step, logp, label = np.empty(len(src), np.int64), np.empty(len(src)), np.empty(len(src), np.int32)
+        for at, n, score, piece in found:
+            to = free[at]
+            step[to], logp[to], label[to] = n, score, piece
+            free[at] += 1
         # every chunk has one node more than characters: its end.  total: log of the summed
-        # weight of all ways from a node to the end, from the ends backwards
+        # weight of all ways from a node to the end, from the ends backwards, by distance to it
         node = np.arange(len(cp)) + np.repeat(np.arange(len(chunks)), size)
-        to = node[src] + step
+        far = left.astype(np.uint16) if left.max() < 1 << 16 else left  # short numbers sort in one go
+        places = np.argsort(far, kind="stable")
+        ends = np.r_[0, np.cumsum(count[places])]
+        o = np.arange(len(src)) + np.repeat(heads[places] - ends[:-1], count[places])
+        score, to = logp[o], node[src[o]] + step[o]
         total = np.zeros(len(cp) + len(chunks))
-        heads = np.flatnonzero(np.r_[True, src[1:] != src[:-1]])
-        count = np.diff(np.r_[heads, len(src)])
-        levels = np.r_[np.flatnonzero(np.r_[True, np.diff(far[heads]) > 0]), len(heads)]
-        ends = np.r_[heads, len(src)]
+        levels = np.r_[0, np.flatnonzero(np.diff(far[places])) + 1, len(places)]
         for lo, hi in zip(levels[:-1], levels[1:]):
             e = slice(ends[lo], ends[hi])
             v = score[e] + total[to[e]]
-            cut = heads[lo:hi] - ends[lo]
+            cut = ends[lo:hi] - ends[lo]
             most = np.maximum.reduceat(v, cut)
-            summed = most + np.log(np.add.reduceat(np.exp(v - np.repeat(most, count[lo:hi])), cut))
-            total[node[src[heads[lo:hi]]]] = summed
-            score[e] = v - np.repeat(summed, count[lo:hi])
-        # back to the order of the places
-        back = np.argsort(src, kind="stable")
-        o = o[back]
-        src, step, logp, label = src[back], step[back], score[back], label[o]
-        heads = np.flatnonzero(np.r_[True, src[1:] != src[:-1]])
-        count = np.diff(np.r_[heads, len(src)])
+            summed = most + np.log(np.add.reduceat(np.exp(v - np.repeat(most, count[places[lo:hi]])), cut))
+            total[node[places[lo:hi]]] = summed
+            score[e] = v - np.repeat(summed, count[places[lo:hi]])
+        logp[o] = score
         c = np.cumsum(np.exp(logp))
         c -= np.repeat(np.r_[0.0, c[heads[1:] - 1]], count)
         c[heads + count - 1] = 2.0  # the last edge takes the rest
@@ -278,11 +295,14 @@ class Lattices:
             node[active] = self.to[e]
             active = active[self.left[node[active]] > 0]
             step += 1
-        if not who:
-            return np.empty(0, np.int64), np.empty(0, np.int64)
-        who, took = np.concatenate(who), np.concatenate(took)
-        o = np.argsort(who, kind="stable")
-        return who[o], took[o]
+        count = np.zeros(len(node), np.int64)
+        for a in who:
+            count[a] += 1
+        first = np.cumsum(count) - count
+        out = np.empty(int(count.sum()), np.int64)
+        for step, (a, e) in enumerate(zip(who, took)):
+            out[first[a] + step] = e
+        return np.repeat(np.arange(len(node)), count), out
 
     def siblings(self, edge: int) -> np.ndarray:
         """Edges of the node that an edge leaves."""
@@ -305,10 +325,41 @@ class _Branch:
         self.value, self.edges, self.used, self.before = value, edges, used, before
 
 
+def chunks_of(text: str) -> list[str]:
+    """Words with the spaces before them; trailing spaces are a chunk."""
+    if not text:
+        return []
+    if SPACE in text or "  " in text or text[0] == " " or text[-1] == " ":
+        return _CHUNK.findall(SPACE + text.replace(" ", SPACE))
+    return (SPACE + text.replace(" ", " " + SPACE)).split(" ")
+
+
+def exponents(logp: np.ndarray, before: np.ndarray, at: np.ndarray, free: np.ndarray, first: np.ndarray, least: int, draw) -> np.ndarray:
+    """What ``truncated`` takes of each place that is free, infinite where no other edge is or where
+    ``least`` places of the text have smaller ones whatever is drawn: log(-log(u)) is within -36.8 and
+    3.7, and what was passed before a place only gets less likely.  first: of each text, ``before`` at
+    its first free place."""
+    out = np.full(len(logp), np.inf)
+    some = np.flatnonzero(free & (before >= first[at] - 80))
+    for left in (True, False):
+        with np.errstate(divide="ignore"):
+            other = before[some] + np.log(np.maximum(-np.expm1(logp[some]), 0.0))
+        if not left:
+            break
+        few = np.bincount(at[some[other >= first[at[some]] - 39]], minlength=len(first)) < least
+        if not (rest := free & few[at]).any():
+            break
+        rest[some] = True
+        some = np.flatnonzero(rest)
+    some, other = some[np.isfinite(other)], other[np.isfinite(other)]
+    out[some] = np.log(-np.log(draw(some))) - other
+    return out
+
+
 def sample_group(lat: Lattices, texts: list[str], row_keys: np.ndarray, k: int, seed: int):
     """For each text, its samples as (labels, log-probability, perturbed), best first, and the
     perturbed value of the next one (-inf if there is none)."""
-    split = [_CHUNK.findall(SPACE + t.replace(" ", SPACE)) if t else [] for t in texts]
+    split = [chunks_of(t) for t in texts]
     count = np.array([len(s) for s in split], np.int64)
     start = lat.starts([c for s in split for c in s])
     first = np.cumsum(count) - count
@@ -331,8 +382,10 @@ def sample_group(lat: Lattices, texts: list[str], row_keys: np.ndarray, k: int,
             nodes.append(rest), place.append(np.arange(done, done + len(rest)))
         text = np.array([i for i, _ in going])
         owner = np.repeat(np.arange(len(going)), [len(x) for x in nodes])
-        nodes, place = np.concatenate(nodes), np.concatenate(place)
-        who, took = lat.walk(nodes, lambda a, s: uniform(seeds[text[owner[a]]], place[a] * (1 << 20) + s))
+        nodes, place = np.concatenate(nodes), np.concatenate(place) * (1 << 20)
+        begun = mixed(seeds[text])  # what the numbers of a text and sample have in common
+        own = begun[owner]
+        who, took = lat.walk(nodes, lambda a, s: uniform(place[a] + s, start=own[a]))
         new = np.bincount(owner[who], minlength=len(going)) if len(who) else np.zeros(len(going), np.int64)
         cuts = np.split(took, np.cumsum(new)[:-1])
         whole = [x for (_, head), part in zip(going, cuts) for x in (head, part)]
@@ -346,21 +399,20 @@ def sample_group(lat: Lattices, texts: list[str], row_keys: np.ndarray, k: int,
         before = total[:-1] - total[off][at]
         place = np.arange(len(edges)) - off[at]
         # every place after the head leaves its other edges aside, below this sample's value
-        with np.errstate(divide="ignore"):
-            other = before + np.log(np.maximum(-np.expm1(logp), 0.0))
-        value = below(other, top[text][at], uniform(seeds[text][at], place + (1 << 62)))
-        value[(place < kept[at]) | ~np.isfinite(other)] = -np.inf
+        head = np.minimum(off + kept, len(edges) - 1)
+        exponent = exponents(logp, before, at, place >= kept[at], before[head] if len(edges) else np.zeros(len(going)), k + 1,
+                             lambda some: uniform(place[some] + (1 << 62), start=begun[at[some]]))
         labels = lat.label[edges]
         for g, (i, _) in enumerate(going):
             part = slice(off[g], off[g] + size[g])
             samples[i].append((labels[part], float(total[part.stop] - total[part.start]), float(top[i])))
-            v = value[part]
+            v = exponent[part]
             if r + 1 == k:  # nothing is walked after it: the largest value is enough
-                following[i] = max([b.value for b in branches[i]] + ([float(v.max())] if len(v) else []), default=-np.inf)
+                following[i] = max([b.value for b in branches[i]] + ([float(truncated(v.min(), top[i]))] if len(v) else []), default=-np.inf)
                 continue
-            best = np.argpartition(-v, k)[: k + 1] if len(v) > k + 1 else np.arange(len(v))
+            best = np.argpartition(v, k)[: k + 1] if len(v) > k + 1 else np.arange(len(v))
             own = edges[part]
-            branches[i] += [_Branch(float(v[j]), own[:j], (int(own[j]),), float(before[part][j])) for j in best if np.isfinite(v[j])]
+            branches[i] += [_Branch(float(truncated(v[j], top[i])), own[:j], (int(own[j]),), float(before[part][j])) for j in best if np.isfinite(v[j])]
         if r + 1 == k:
             break
         walked, going = going, []
@@ -427,7 +479,7 @@ def _sample(path: str, k: int, seed: int, with_ids: bool):
                         # log(1 - exp(-exp(d))): close to d where d is very small
                         d = logp - nxt
                         score = 0.0 if nxt == -np.inf else d if d < -30 else float(np.log(-np.expm1(-np.exp(d))))
-                        same = lat.pieces.decode(pieces.tolist()) == text.replace(SPACE, " ")
+                        same = lat.pieces.decode(pieces) == text.replace(SPACE, " ")
                         values = (i, n, len(pieces), zlib.crc32(pieces.astype("<u4").tobytes()), logp, score, same, pieces.tolist() if with_ids else None)
                         for name, v in zip(rows, values):
                             rows[name].append(v)

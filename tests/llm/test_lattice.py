@@ -110,3 +110,31 @@ def test_dropping_rare_words_changes_no_sample(monkeypatch):
     assert short == whole
     assert few_words.start.keys() < all_words.start.keys() and few_words.nodes < all_words.nodes
     assert lattice.SPACE + "of" in few_words.start and lattice.SPACE + "w0" not in few_words.start
+
+
+def test_chunks_are_those_of_the_pattern():
+    for t in ["a b", "a", " a", "a ", "a  b c", f"a{lattice.SPACE}b c", "a\nb\tc d", " ", "  ", "x y  z", lattice.SPACE]:
+        assert lattice.chunks_of(t) == lattice._CHUNK.findall(lattice.SPACE + t.replace(" ", lattice.SPACE))
+    assert lattice.chunks_of("") == []
+
+
+def test_places_that_cannot_be_next_are_not_drawn():
+    rng = np.random.default_rng(3)
+    size = np.array([4000, 2, 0, 900, 300])
+    off, at = np.cumsum(size) - size, np.repeat(np.arange(5), size)
+    logp = -rng.exponential(0.5, size.sum())
+    logp[rng.random(len(logp)) < 0.3] = 0.0  # no other edge
+    logp[off[3] : off[3] + 600] = 0.0
+    total = np.r_[0.0, np.cumsum(logp)]
+    before = total[:-1] - total[off][at]
+    kept = np.array([10, 0, 0, 0, 300])
+    free = np.arange(len(at)) - off[at] >= kept[at]
+    u = lattice.uniform(np.arange(len(at)))
+    drawn = []
+    got = lattice.exponents(logp, before, at, free, before[np.minimum(off + kept, len(at) - 1)], 3, lambda some: drawn.append(some) or u[some])
+    with np.errstate(divide="ignore"):
+        other = before + np.log(np.maximum(-np.expm1(logp), 0.0))
+    want = np.where(free & np.isfinite(other), np.log(-np.log(u)) - other, np.inf)
+    for i in range(5):
+        assert (np.sort(got[at == i])[:3] == np.sort(want[at == i])[:3]).all()
+    assert sum(map(len, drawn)) < len(at) / 3
