@@ -12,7 +12,9 @@ in one bucket and are placed one by one; null doc_ids are scattered by their tex
 table gives no rows; columns named shard or slot in the input are replaced.
 
 Scale: the text crosses one shuffle; bucket counts are added up in two steps (inside groups
-of 1024 buckets, then over the groups).  The same seed gives the same shards at any number
+of 1024 buckets, then over the groups) and broadcast, 16 bytes a bucket.  A task takes a run of
+consecutive buckets, one in memory at a time, so it writes to one or two shards: every file and
+folder that a task makes starts a process on its executor where Hadoop has no native library.  The same seed gives the same shards at any number
 of partitions, so a lost task is repeated with the same result.
 """
 
@@ -23,6 +25,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from chorus.llm.common import groups
+
 SHARDS = 16
 SEED = 20240229
 BUCKET_BYTES = 8 << 20
@@ -71,17 +75,21 @@ def shuffle_shards(docs: DataFrame, path: str, shards: int = SHARDS, seed: int =
     dealt = inner.withColumn("_o", key).withColumn("_b", F.pmod(F.xxhash64("_o", F.lit(seed)), F.lit(buckets)))
     before = _offsets(dealt.groupBy(F.col("_b").alias("bucket")).agg(F.count(F.lit(1)).alias("n")))
 
-    def run(key, left: pa.Table, right: pa.Table) -> pa.Table:
-        left = left.combine_chunks()
-        left = left.take(pa.compute.sort_indices(left, sort_keys=[("_o", "ascending"), (c_id, "ascending")]))
-        order = fisher_yates(left.num_rows, seed, key[0].as_py())
-        first = right.column("before")[0].as_py()
-        shard, slot = cut_points(first + np.arange(left.num_rows), rows, shards)
-        out = left.take(pa.array(order)).select(cols)
-        return out.append_column("shard", pa.array(shard, pa.int32())).append_column("slot", pa.array(slot, pa.int64()))
+    def run(batches):
+        for t in groups(batches, ["_b"]):
+            t = t.combine_chunks()
+            t = t.take(pa.compute.sort_indices(t, sort_keys=[("_o", "ascending"), (c_id, "ascending")]))
+            order = fisher_yates(t.num_rows, seed, t.column("_b")[0].as_py())
+            shard, slot = cut_points(t.column("before")[0].as_py() + np.arange(t.num_rows), rows, shards)
+            out = t.take(pa.array(order)).select(cols)
+            out = out.append_column("shard", pa.array(shard, pa.int32())).append_column("slot", pa.array(slot, pa.int64()))
+            yield from out.to_batches(max_chunksize=2000)
 
     schema = ", ".join(f"{c} {t}" for c, t in inner.dtypes) + ", shard int, slot long"
-    out = dealt.groupBy("_b").cogroup(before.select(F.col("bucket").alias("_b"), "before").groupBy("_b")).applyInArrow(run, schema)
+    parts = min(buckets, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    runs = dealt.repartitionById(parts, F.expr(f"cast(_b * {parts} div {buckets} as int)"))
+    placed = runs.join(F.broadcast(before), F.col("_b") == F.col("bucket")).sortWithinPartitions("_b")
+    out = placed.mapInArrow(run, schema)
     out.write.partitionBy("shard").parquet(path)
     back = docs.sparkSession.read.schema(out.schema).parquet(path)
     return back.select(*[F.col(c).alias(n) for c, n in zip(cols, base.columns)], "shard", "slot")

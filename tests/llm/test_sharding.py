@@ -46,3 +46,16 @@ def test_edges(spark):
 def test_fisher_yates_is_a_permutation():
     assert sorted(sharding.fisher_yates(100, 1, 2)) == list(range(100))
     assert (sharding.fisher_yates(100, 1, 2) != sharding.fisher_yates(100, 1, 3)).any()
+
+
+def test_a_task_writes_to_neighbouring_shards(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    path, put_together = scratch_path(spark, "t"), "spark.sql.adaptive.coalescePartitions.enabled"
+    spark.conf.set(put_together, "false")
+    try:
+        sharding.shuffle_shards(docs, path, bucket_bytes=20_000)
+    finally:
+        spark.conf.unset(put_together)
+    written = spark.read.parquet(path).select("shard", "_metadata.file_name").distinct().count()
+    assert written <= parts + sharding.SHARDS
